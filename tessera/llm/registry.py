@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, sharding
+from tessera.llm import bpe_codec, exact_dedup, sharding, token_counts
 
-_MODULES = (sharding, exact_dedup)
+_MODULES = (sharding, token_counts, bpe_codec, exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
