@@ -20,6 +20,10 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _STRETCH = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes between words: white space, or every ASCII byte that is no letter and no digit.
+SPACES = np.zeros(256, bool)
+SPACES[[32, *range(9, 14)]] = True
+NO_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +69,7 @@ class Words:
         return np.arange(len(self.starts)) - np.repeat(self.first[:-1], self.counts())
 
 
-def split(column: pa.Array, lower: bool = False) -> Words:
+def split(column: pa.Array, lower: bool = False, gaps: np.ndarray = SPACES) -> Words:
     """The words of the strings of a column; null counts as empty. ``lower``: A-Z as a-z."""
     column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
     if len(column) == 0:
@@ -77,7 +81,7 @@ def split(column: pa.Array, lower: bool = False) -> Words:
     at = at - at[0]
     if lower:
         data = _LOWER[data]
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
+    gap = gaps[data]
     before = np.r_[True, gap[:-1]]
     before[at[:-1][at[:-1] < len(data)]] = True
     after = np.r_[gap[1:], True] if len(data) else gap
