@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, decontamination, exact_dedup, html_text, near_dedup, quality, sharding, substring_dedup, token_counts
+from tessera.llm import bpe_codec, decontamination, exact_dedup, html_text, lm_scoring, near_dedup, quality, sharding, substring_dedup, token_counts
 
-_MODULES = (sharding, token_counts, bpe_codec, quality, html_text, substring_dedup, near_dedup, exact_dedup, decontamination)
+_MODULES = (sharding, lm_scoring, token_counts, bpe_codec, quality, html_text, substring_dedup, near_dedup, exact_dedup, decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
