@@ -219,6 +219,18 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns: one document of each component.
+
+    Rows are told apart by id and text; null ids come last in the order. Of rows alike in both, all
+    stay or go together.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    gone = near_duplicates(keyed, "_key", "_text", shingle_words, percent).where(~F.col("kept")).select("_key").distinct()
+    return docs.withColumn("_row_key", key).join(gone, F.col("_row_key").eqNullSafe(gone["_key"]), "left_anti").drop("_row_key")
+
+
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int) -> DataFrame:
     """Links (u, v) between nodes of ``classes`` that span every component."""
     spark = docs.sparkSession

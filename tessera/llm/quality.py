@@ -160,6 +160,30 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     )
 
 
+def difference(x: np.ndarray, classes: list[Gaussian]) -> np.ndarray:
+    """The log-density of class 1 less that of class 0, for rows of statistics, as ``quality_scores`` scales it."""
+    d = [g.constant - 0.5 * (((x - g.mean) @ g.whiten.T) ** 2).sum(axis=1) for g in classes]
+    return (d[1] - d[0]) / len(STATISTICS)
+
+
+def only_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that are predicted good, all columns.
+
+    The classes are learnt as in ``quality_scores``; rows are then judged where they are read, by
+    their own text, without a shuffle. Without rows of both classes to learn from, all rows stay.
+    """
+    classes = fit(with_statistics(docs, id_col, text_col), labels, id_col, label_col)
+    if classes is None:
+        return docs
+    least = math.log(THRESHOLD / (1 - THRESHOLD))
+
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.pieces(parts, text_col):
+            yield part.filter(pa.array(difference(statistics(part.column(text_col)), classes) >= least))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
