@@ -90,11 +90,10 @@ def answer(requests: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFr
 
 def totals_of(replies: pa.Table, kind: int, dtype: type, decode: Callable[[bytes, int], np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """The totals of one bucket's ascending keys of a kind; ``sizes``: how many keys went to each part."""
-    got = {
-        p: t
-        for k, p, t in zip(column(replies, "kind").to_pylist(), column(replies, "part").to_pylist(), column(replies, "totals").to_pylist(), strict=True)
-        if k == kind
-    }
+    got = {}
+    if replies.num_rows:  # an empty side of a cogroup may come without columns
+        rows = zip(*(column(replies, c).to_pylist() for c in ("kind", "part", "totals")), strict=True)
+        got = {p: t for k, p, t in rows if k == kind}
     parts = np.flatnonzero(sizes).tolist()
     if len(got) != len(parts):
         raise RuntimeError(f"{len(parts)} parts were asked and {len(got)} replied")

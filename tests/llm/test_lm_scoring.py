@@ -34,5 +34,10 @@ def test_against_brute_force(spark, order):
         assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-9)
 
 
+def test_texts_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "  ")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in lm.scores(df).collect()) == [(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)]
+
+
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []

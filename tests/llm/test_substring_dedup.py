@@ -35,6 +35,11 @@ def test_against_brute_force(spark):
         assert sum(r.doc_id is None for r in got) == sum(i % 17 == 0 for i in range(len(texts)))
 
 
+def test_texts_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "  ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in sd.without_repeats(df).collect()) == [(i, 0, 0, "") for i in (1, 2, 3)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.without_repeats(df).collect() == []
