@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: Modules of tessera.plans that register queries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("q_vector",)
 
 
 def queries() -> dict[str, Query]:
