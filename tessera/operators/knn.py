@@ -158,13 +158,13 @@ def graph(vectors: DataFrame, m: int, metric: str = "l2", id_col: str = "id", ve
     n = max(1, -(-rows.count() // VECTOR_BLOCK))
     own = rows.withColumn("own", F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))
     left = own.select(F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), "_id", "_vec")
-    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a"), F.col("own").alias("b"), "_id", "_vec")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a"), F.col("own").alias("b"), F.col("_id").alias("_id2"), F.col("_vec").alias("_vec2"))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:  # an empty side may come without columns
             return pa.table([pa.array([], id_type), pa.array([], id_type), pa.array([], pa.float64())], names=["src", "dst", "distance"])
-        ids = [pa.concat_arrays(t.column("_id").chunks) for t in (x, y)]
-        mats = [np.array(t.column("_vec").to_pylist(), float) for t in (x, y)]
+        ids = [pa.concat_arrays(t.column(c).chunks) for t, c in ((x, "_id"), (y, "_id2"))]
+        mats = [np.array(t.column(c).to_pylist(), float) for t, c in ((x, "_vec"), (y, "_vec2"))]
         d = distances(mats[0], mats[1], metric)
         same = np.array(ids[0].to_pylist(), object)[:, None] == np.array(ids[1].to_pylist(), object)[None, :]
         d[same.astype(bool)] = np.nan
