@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +22,11 @@ def build(docs: DataFrame, text_cols: dict[str, str], id_col: str = "doc_id", bi
         return F.transform(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")), lambda w: F.struct(F.lit(name).alias("field"), w.alias("word")))
 
     lists = [keywords(c, f) for c, f in text_cols.items()]
-    keyword = F.explode(F.array_distinct(F.concat(*lists) if len(lists) > 1 else lists[0]))
+    keyword = F.explode(F.concat(*lists) if len(lists) > 1 else lists[0])
     mask = F.lit(0).cast("long") if bits is None else bits
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), mask.alias("bits"), keyword.alias("k")).select("doc_id", "k.field", "k.word", "bits")
+    out = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), mask.alias("bits"), keyword.alias("k")).select("doc_id", "k.field", "k.word", "bits")
+    # ``tokens`` gives a column's words once each; only columns that share a field can repeat one.
+    return out if len(set(text_cols.values())) == len(text_cols) else out.distinct()
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,8 @@ class Term:
 
     field: str = ""
     word: str = ""
-    must: tuple[Term, ...] = field(default=())
-    should: tuple[Term, ...] = field(default=())
+    must: tuple[Term, ...] = ()
+    should: tuple[Term, ...] = ()
 
     def empty(self) -> bool:
         return not self.word and not self.must and not self.should

@@ -7,6 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+def micros(time: str | Column) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone; one with a zone is taken in the session's."""
+    time = F.col(time) if isinstance(time, str) else time
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
+
+
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
@@ -77,7 +84,7 @@ def data_quality(rows: DataFrame, strategy: str, valid: Column, time: str) -> Da
         F.count("*").alias("n"),
         F.coalesce(F.avg(F.when(valid, 1.0).otherwise(0.0)), F.lit(0.0)).alias("valid_share"),
         F.count_distinct(strategy).alias("strategies"),
-        F.coalesce((F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6, F.lit(0.0)).alias("seconds"),
+        F.coalesce((micros(F.max(time)) - micros(F.min(time))) / 1e6, F.lit(0.0)).alias("seconds"),
     )
     share, kinds = F.col("valid_share"), F.col("strategies")
     grade = F.when((share > 0.95) & (kinds >= 3), "excellent").when((share > 0.8) & (kinds >= 2), "good").when(share > 0.6, "fair").otherwise("poor")
@@ -125,7 +132,7 @@ def alerts(rows: DataFrame, by: Sequence[str], time: str, firing: Column, gap_se
     """
     w = Window.partitionBy(*by).orderBy(time)
     fired = rows.where(firing).withColumn("_before", F.lag(time).over(w))
-    gap = F.unix_micros(time) - F.unix_micros("_before")
+    gap = micros(time) - micros("_before")
     return fired.where(F.col("_before").isNull() | (gap >= gap_seconds * 1e6)).drop("_before")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.durable import durable
+
 LEVELS = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
 
 
@@ -64,22 +66,39 @@ def on_ring(keys: DataFrame, places: DataFrame, key: str) -> DataFrame:
     return keys.withColumn("node", F.coalesce(F.get(after, 0), F.get(sorted_, 0))["n"])
 
 
-def waits(spark, edges: DataFrame) -> DataFrame:
-    """``waiter`` and ``holder``: everything that each transaction waits for, directly or not."""
-    edges.select("waiter", "holder").distinct().createOrReplaceTempView("_tessera_waits")
-    return spark.sql(
-        """WITH RECURSIVE reach(waiter, holder, depth) AS (
-             SELECT waiter, holder, 1 FROM _tessera_waits
-             UNION ALL
-             SELECT r.waiter, w.holder, r.depth + 1 FROM reach r JOIN _tessera_waits w ON w.waiter = r.holder
-             WHERE r.waiter <> r.holder AND r.depth < 64)
-           SELECT DISTINCT waiter, holder FROM reach"""
-    )
+def _only_cycles(edges: DataFrame) -> DataFrame:
+    """Edges without those whose ends nobody waits for or that wait for nobody, again and again."""
+    now = durable(edges.select("waiter", "holder").distinct())
+    n = now.count()
+    while n:
+        left = now.join(now.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi")
+        left = durable(left.join(now.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "holder"))
+        m = left.count()
+        if m == n:
+            break
+        now, n = left, m
+    return now
+
 
+def waits(edges: DataFrame) -> DataFrame:
+    """``waiter`` and ``holder``: everything that each transaction waits for, directly or not.
 
-def deadlocked(spark, edges: DataFrame) -> DataFrame:
-    """Transactions that wait for themselves through at most 64 others."""
-    return waits(spark, edges).where("waiter = holder").select(F.col("waiter").alias("tx")).distinct()
+    Paths of twice the length are joined in each round, so rounds are logarithmic in the longest path.
+    """
+    now = durable(edges.select("waiter", "holder").distinct())
+    n = now.count()
+    while True:
+        step = now.select(F.col("waiter").alias("holder"), F.col("holder").alias("next"))
+        now = durable(now.unionByName(now.join(step, "holder").select("waiter", F.col("next").alias("holder"))).distinct())
+        m = now.count()
+        if m == n:
+            return now
+        n = m
+
+
+def deadlocked(edges: DataFrame) -> DataFrame:
+    """``tx``: the transactions that wait for themselves, directly or not."""
+    return waits(_only_cycles(edges)).where("waiter = holder").select(F.col("waiter").alias("tx"))
 
 
 def modulo_shard(key: Column, shards: int) -> Column:
