@@ -20,7 +20,7 @@ class Situation:
 
 
 def _first(s: Situation, *names: str) -> str | None:
-    return next((n for n in names if n in s.ready or n == BRUTE), None)
+    return next((n for n in names if n in s.ready or n in (BRUTE, HYBRID)), None)
 
 
 def choose(s: Situation) -> str:

@@ -34,7 +34,12 @@ class Store:
         pointer = f"{self.root}/{name}/_current"
         if not self._exists(pointer):
             raise KeyError(f"no table {name}")
-        return json.loads(self.spark.read.text(pointer, wholetext=True).first()[0])["snapshot"]
+        fs, at = self._fs(pointer)
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["snapshot"]
+        finally:
+            stream.close()
 
     def _point(self, name: str, snapshot: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -108,8 +113,8 @@ class Store:
     def backup(self, name: str, folder: str) -> None:
         self.read(name).write.parquet(f"{folder}/{name}")
 
-    def restore(self, name: str, folder: str) -> None:
-        self.replace(name, self.spark.read.parquet(f"{folder}/{name}"))
+    def restore(self, name: str, folder: str, saved_as: str | None = None) -> None:
+        self.replace(name, self.spark.read.parquet(f"{folder}/{saved_as or name}"))
 
     def import_increment(self, name: str, rows: DataFrame, key: str, time_col: str) -> int:
         """Add rows newer than the table's newest; the mark is the newest time that the table holds."""
