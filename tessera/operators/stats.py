@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.skew import grouped
+
 
 def micros(time: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone; one with a zone is taken in the session's."""
@@ -38,7 +40,8 @@ def anomalies(rows: DataFrame, value: str, by: Sequence[str] = (), sigmas: float
     The groups' figures are aggregated and joined back: no window over all rows.
     """
     keys = list(by)
-    own = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev"))
+    figures = [F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev")]
+    own = grouped(rows, keys, *figures) if keys else rows.agg(*figures)
     both = rows.join(own, keys) if keys else rows.crossJoin(F.broadcast(own))
     return both.where((F.col("_n") >= least) & (F.abs(F.col(value) - F.col("_mean")) > sigmas * F.col("_dev"))).drop("_n", "_mean", "_dev")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.durable import durable
+from tessera.plans.skew import grouped
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     neighbours of a hub are never gathered in one place.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = grouped(both, ["u"], F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
