@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.durable import durable
+from tessera.plans.skew import grouped
 from tessera.sources.tables import table
 
 #: Lengths are counted modulo this; so many rows at most are broadcast.
@@ -65,7 +66,7 @@ def exact_dedup(
     bin_ = F.pmod(F.col("_len"), F.lit(LENGTH_BINS)).alias("_bin")
     lengths = first.groupBy(bin_).count().where("count > 1").select("_bin")
     same_length = first.withColumn("_bin", bin_).join(F.broadcast(lengths), "_bin", "left_semi").drop("_bin")
-    prefixes = same_length.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix")
+    prefixes = grouped(same_length, ["_len", "_prefix"], F.count("*").alias("_n")).where("_n > 1").drop("_n")
     same_prefix = same_length.join(prefixes, ["_len", "_prefix"], "left_semi")
 
     if with_digest:
@@ -82,11 +83,7 @@ def exact_dedup(
         alone = first.join(again, first["_id"].eqNullSafe(again["_id"]), "left_anti")
 
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r")))
-    groups = (
-        candidates.groupBy("_len", "_prefix", "_full")
-        .agg(F.count("*").alias("_n"), best.alias("_best"))
-        .where("_n > 1")
-    )
+    groups = grouped(candidates, ["_len", "_prefix", "_full"], F.count("*").alias("_n"), best.alias("_best")).where("_n > 1")
     out = rows.join(groups, ["_len", "_prefix", "_full"], "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_best.i")).alias("keep_id"),
