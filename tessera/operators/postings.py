@@ -95,6 +95,16 @@ def hits(postings: DataFrame, words: list[str]) -> DataFrame:
     return some.groupBy("doc_id").agg(F.count_distinct("word").alias("n_hits"))
 
 
+def with_prefix(postings: DataFrame, prefix: str) -> DataFrame:
+    """The distinct words that begin with ``prefix``; a filter that Parquet can skip row groups by."""
+    return postings.where(F.col("word").startswith(prefix)).select("word").distinct()
+
+
+def known_words(text: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
+    """The rows of ``text`` whose word is in the dictionary."""
+    return text.join(dictionary.select(word).distinct(), word, "left_semi")
+
+
 def by_score_id(postings: DataFrame, docs: DataFrame, score_id: int) -> DataFrame:
     """The document with a score id, and its keywords in order."""
     doc = docs.where(F.col("score_id") == score_id)

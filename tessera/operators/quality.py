@@ -56,3 +56,9 @@ def above(results: DataFrame, quality: float) -> DataFrame:
 def effectiveness(recall, precision, milliseconds):
     """0.4 recall + 0.4 precision + 0.2 for how far the time is below 100 ms."""
     return 0.4 * recall + 0.4 * precision + 0.2 * F.greatest(F.lit(0.0), 1 - milliseconds / 100.0)
+
+
+def tuned(history: DataFrame, settings: str = "settings") -> DataFrame:
+    """The settings with the best mean effectiveness over ``recall``, ``precision`` and ``ms``, ties by the settings."""
+    value = effectiveness(F.col("recall"), F.col("precision"), F.col("ms"))
+    return history.groupBy(settings).agg(F.avg(value).alias("effectiveness")).orderBy(F.desc("effectiveness"), settings).limit(1)

@@ -236,6 +236,30 @@ def mini_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlmini.execute("SELECT doc_id, lang FROM docs WHERE _keyword_ = 'with' AND lang IN ('en', 'fr')", {"docs": docs(spark, sf_dir)}, keyword=found)
 
 
+@query(
+    "search_sql",
+    f"""WITH {_POSTINGS}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 3),
+    n AS (SELECT vec_id AS doc_id, 1 - list_cosine_similarity(v, q) AS d FROM e, q ORDER BY d, vec_id LIMIT 60),
+    h AS (SELECT doc_id FROM p WHERE word IN ('the', 'of') AND (bits & 1) = 1 AND (bits & 16) = 0 GROUP BY doc_id HAVING count(DISTINCT word) = 2)
+    SELECT doc_id, round(d, 6) AS distance FROM n WHERE doc_id IN (SELECT doc_id FROM h) ORDER BY d, doc_id LIMIT 10 OFFSET 2""",
+)
+def search_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for words near vector 3, in English and not from the first source."""
+    from tessera.operators import search
+    from tessera.plans.q_vector import vector
+
+    e = embeddings(spark, sf_dir)
+    q = sqlmini.parse_search("SELECT * FROM docs WHERE keyword='the of' AND vector_query='3' AND k=60 AND on_flag=1 AND off_flag=16 LIMIT 10 OFFSET 2")
+    d = docs(spark, sf_dir).withColumn("bits", F.expr(f"cast({_BITS} as bigint)"))
+    found = search.run(q, d, _postings(spark, sf_dir), e.withColumnRenamed("id", "doc_id"), lambda text, _: vector(e, int(text)))
+    return found.select("doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query("prefix_words", f"WITH {_POSTINGS} SELECT DISTINCT word FROM p WHERE starts_with(word, 'thing')")
+def prefix_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.with_prefix(_postings(spark, sf_dir), "thing")
+
+
 @query("keyword_ranges", f"WITH {_POSTINGS} SELECT word, count(*) AS n FROM p WHERE word BETWEEN 'a' AND 'b' GROUP BY word")
 def keyword_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.versions import range_scan
