@@ -30,6 +30,7 @@ from tessera.llm import batches, words
 from tessera.llm.exchange import column
 from tessera.plans.components import components
 from tessera.plans.durable import durable
+from tessera.plans.skew import grouped
 from tessera.sources.tables import table
 
 COORDINATES, TOGETHER = 128, 4
@@ -207,7 +208,7 @@ def near_duplicates(
     labels = components(_links(docs, classes, id_col, text_col, shingle_words, percent, block))
     rooted = classes.select("_hi", "_lo", "_n", "_node", "_rep").join(labels.withColumnRenamed("node", "_node"), "_node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "_node"))
-    least = rooted.groupBy("root").agg(F.min("_rep").alias("_component"))
+    least = grouped(rooted, ["root"], F.min("_rep").alias("_component"))
     known = rooted.join(least, "root").select("_hi", "_lo", "_n", "_component")
     out = signed.select("_id", "_n", "_hi", "_lo").join(known, ["_hi", "_lo", "_n"], "left")
     component = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("_component"))
@@ -237,7 +238,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: i
     least = least_matches(percent / 100)
     # Posting keys that at least two classes have.
     postings = classes.select("_node", F.posexplode("_keys").alias("turn", "key"))
-    long_ = postings.groupBy("key").count().where("count > 1")
+    long_ = grouped(postings, ["key"], F.count("*").alias("count")).where("count > 1")
     blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("_node"), F.col("blocks")).cast("int")
     met = (
@@ -270,7 +271,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: i
     needed = groups.select("_node").distinct().join(classes.select("_node", "_rep", "_hi"), "_node")
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     text = text.join(needed, text["_id"].eqNullSafe(needed["_rep"])).select("_node", "_hi", "_text")
-    grouped = groups.join(text, "_node").withColumn("bin", F.pmod(F.xxhash64("key", "a", "b"), F.lit(bins)).cast("int"))
+    to_confirm = groups.join(text, "_node").withColumn("bin", F.pmod(F.xxhash64("key", "a", "b"), F.lit(bins)).cast("int"))
 
     def confirm(group: pa.Table) -> pa.Table:
         get = lambda c: column(group, c).to_numpy(zero_copy_only=False)
@@ -299,7 +300,7 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: i
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
         return pa.table([pa.array(cat(u), pa.int64()), pa.array(cat(v), pa.int64())], names=["u", "v"])
 
-    return grouped.groupBy("bin").applyInArrow(confirm, "u long, v long")
+    return to_confirm.groupBy("bin").applyInArrow(confirm, "u long, v long")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,3 +308,22 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
+
+ORACLE_SQL = {
+    "op9_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM reach r JOIN u ON u.x = r.y),
+m AS (SELECT x AS doc_id, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(m.y, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+}
