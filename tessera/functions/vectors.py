@@ -6,7 +6,9 @@ have a cosine of 0 with anything and stay as they are when normalised.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,9 +56,18 @@ def l1(a: Vector, b: Vector) -> Column:
 
 
 def cosine(a: Vector, b: Vector, mismatch: float | None = None) -> Column:
-    """Cosine similarity; 0 where a norm is 0; ``mismatch`` (else null) where lengths differ."""
-    both = norm(a) * norm(b)
-    value = F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(both, F.lit(0.0)))
+    """Cosine similarity; 0 where a norm is 0; ``mismatch`` (else null) where lengths differ.
+
+    The norm of a vector given as numbers is taken here, once.
+    """
+    known, scale = 1.0, []
+    for v in (a, b):
+        if isinstance(v, Column):
+            scale.append(norm(v))
+        else:
+            known *= math.sqrt(sum(float(x) * float(x) for x in v))
+    both = reduce(Column.__mul__, scale, F.lit(known))
+    value = F.coalesce(dot(a, b) / F.nullif(both, F.lit(0.0)), F.when(both == 0, 0.0))
     a, b = as_vector(a), as_vector(b)
     return F.when(F.size(a) == F.size(b), value).otherwise(F.lit(mismatch).cast("double"))
 

@@ -33,9 +33,10 @@ def scored(vectors: DataFrame, query: V.Vector, metric: str = "cosine", vec: str
 
     The similarity is the cosine or dot product itself, or 1 / (1 + distance) for ``l2`` and ``l1``.
     """
-    d = V.distance(F.col(vec), query, metric)
-    s = {"cosine": V.cosine(F.col(vec), query), "dot": V.dot(F.col(vec), query)}.get(metric, F.lit(1.0) / (F.lit(1.0) + d))
-    return vectors.withColumn("distance", d).withColumn("similarity", s)
+    if metric in ("cosine", "dot"):
+        both = vectors.withColumn("similarity", (V.cosine if metric == "cosine" else V.dot)(F.col(vec), query))
+        return both.withColumn("distance", F.lit(1.0) - F.col("similarity") if metric == "cosine" else -F.col("similarity"))
+    return vectors.withColumn("distance", V.distance(F.col(vec), query, metric)).withColumn("similarity", 1 / (1 + F.col("distance")))
 
 
 def nearest(vectors: DataFrame, query: V.Vector, k: int, metric: str = "cosine", id_col: str = "id", vec: str = "vec") -> DataFrame:

@@ -41,8 +41,11 @@ def anomalies(rows: DataFrame, value: str, by: Sequence[str] = (), sigmas: float
     """
     keys = list(by)
     figures = [F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev")]
-    own = grouped(rows, keys, *figures) if keys else rows.agg(*figures)
-    both = rows.join(own, keys) if keys else rows.crossJoin(F.broadcast(own))
+    if keys:
+        both = rows.join(grouped(rows, keys, *figures), keys)
+    else:
+        one = rows.agg(*figures).first()
+        both = rows.withColumns({c: F.lit(one[c]) for c in ("_n", "_mean", "_dev")})
     return both.where((F.col("_n") >= least) & (F.abs(F.col(value) - F.col("_mean")) > sigmas * F.col("_dev"))).drop("_n", "_mean", "_dev")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.plans.skew import grouped
 
 #: Words in a vocabulary, at most; it is sent to the tasks.
 MOST_WORDS = 1_000_000
@@ -23,10 +24,10 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     counts = term_counts(docs, id_col, text_col)
     lengths = docs.select(id_col, F.size(T.words(F.col(text_col))).alias("_len"))
-    frequency = counts.groupBy("word").agg(F.count("*").alias("_df"))
-    every = docs.agg(F.count("*").alias("_docs"))
-    both = counts.join(lengths, id_col).join(frequency, "word").crossJoin(F.broadcast(every))
-    return both.select(id_col, "word", (F.col("n") / F.col("_len") * F.ln(F.col("_docs") / F.col("_df"))).alias("weight"))
+    frequency = grouped(counts, ["word"], F.count("*").alias("_df"))
+    n_docs = F.lit(docs.count())
+    both = counts.join(lengths, id_col).join(frequency, "word")
+    return both.select(id_col, "word", (F.col("n") / F.col("_len") * F.ln(n_docs / F.col("_df"))).alias("weight"))
 
 
 def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
