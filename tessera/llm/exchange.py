@@ -39,18 +39,22 @@ def column(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(chunks) if chunks else pa.array([], table.schema.field(name).type)
 
 
-def cuts(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part begins among ascending keys: the key space is cut into equal ranges."""
-    edges = [(i * 2**64) // parts for i in range(1, parts)]
-    return np.r_[0, np.searchsorted(sorted_keys, np.array(edges, np.uint64)), len(sorted_keys)]
+def slices(sorted_keys: np.ndarray, parts: int) -> tuple[list[int], list[int], list[int]]:
+    """The parts that ascending keys fall into, and where the keys of each begin and end.
+
+    The key space is cut into equal ranges by the upper half of the key.
+    """
+    if not len(sorted_keys):
+        return [], [], []
+    part = ((sorted_keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_keys)]
 
 
 def request(bucket: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple]:
     """Rows of ``REQUEST`` for ascending distinct keys and how often the bucket has each."""
-    at = cuts(keys, parts)
-    for p in np.flatnonzero(np.diff(at)).tolist():
-        a, b = at[p], at[p + 1]
-        yield p, bucket, kind, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()
+    for p, a, b in zip(*slices(keys, parts), strict=True):
+        yield p, bucket, kind, keys[a:b].tobytes(), numbers(counts[a:b])
 
 
 def rows_table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -75,7 +79,7 @@ def answer(requests: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFr
 
     def add(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in column(table, "keys").to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in column(table, "counts").to_pylist()]
+        counts = [from_numbers(x, len(k)) for x, k in zip(column(table, "counts").to_pylist(), keys, strict=True)]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)[place]
         ends = np.cumsum([len(k) for k in keys])
@@ -88,16 +92,16 @@ def answer(requests: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFr
     return requests.groupBy("part", "kind").applyInArrow(add, REPLY)
 
 
-def totals_of(replies: pa.Table, kind: int, dtype: type, decode: Callable[[bytes, int], np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """The totals of one bucket's ascending keys of a kind; ``sizes``: how many keys went to each part."""
+def totals_of(replies: pa.Table, kind: int, dtype: type, decode: Callable[[bytes, int], np.ndarray], keys: np.ndarray, parts: int) -> np.ndarray:
+    """The totals of one bucket's ascending keys of a kind, as its parts have replied."""
     got = {}
     if replies.num_rows:  # an empty side of a cogroup may come without columns
         rows = zip(*(column(replies, c).to_pylist() for c in ("kind", "part", "totals")), strict=True)
         got = {p: t for k, p, t in rows if k == kind}
-    parts = np.flatnonzero(sizes).tolist()
-    if len(got) != len(parts):
-        raise RuntimeError(f"{len(parts)} parts were asked and {len(got)} replied")
-    return np.concatenate([decode(got[p], int(sizes[p])) for p in parts]) if parts else np.zeros(0, dtype)
+    asked = list(zip(*slices(keys, parts), strict=True))
+    if len(got) != len(asked):
+        raise RuntimeError(f"{len(asked)} parts were asked and {len(got)} replied")
+    return np.concatenate([decode(got[p], b - a) for p, a, b in asked]) if asked else np.zeros(0, dtype)
 
 
 def bits(totals: np.ndarray) -> bytes:
@@ -110,9 +114,12 @@ def from_bits(raw: bytes, n: int) -> np.ndarray:
 
 
 def numbers(totals: np.ndarray) -> bytes:
-    """Totals as bytes where they fit, else as 64-bit numbers; the first byte tells which."""
-    return b"\0" + totals.astype(np.uint8).tobytes() if totals.max(initial=0) < 256 else b"\1" + totals.astype(np.int64).tobytes()
+    """Totals as one byte each; those of 255 or more stand behind as 64-bit numbers."""
+    large = totals >= 255
+    return np.where(large, 255, totals).astype(np.uint8).tobytes() + totals[large].astype(np.int64).tobytes()
 
 
 def from_numbers(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if raw[0] == 0 else np.int64, n, 1).astype(np.int64)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.uint8, len(raw) - n, n).view(np.int64) if len(raw) > n else out[:0]
+    return out

@@ -81,7 +81,7 @@ def scores(
         number, totals, at = words.numbers(w), {}, {}
         for n in range(1, order + 1):
             keys, _, place, at[n] = _grams(number, w, n)
-            got = exchange.totals_of(replies, n, np.int64, exchange.from_numbers, np.diff(exchange.cuts(keys, parts)))
+            got = exchange.totals_of(replies, n, np.int64, exchange.from_numbers, keys, parts)
             totals[n] = got[place]
         each = word_scores(totals, at, len(number), all_words, backoff, cutoff)
         total = np.bincount(w.owner(), weights=each, minlength=table.num_rows)

@@ -74,8 +74,7 @@ def _candidates(parsed: Parsed, repeated_anchor: np.ndarray) -> np.ndarray:
 
 
 def _anchor_bits(parsed: Parsed, replies: pa.Table, parts: int) -> np.ndarray:
-    sizes = np.diff(exchange.cuts(parsed.anchor_keys, parts))
-    return exchange.totals_of(replies, _ANCHORS, bool, exchange.from_bits, sizes)
+    return exchange.totals_of(replies, _ANCHORS, bool, exchange.from_bits, parsed.anchor_keys, parts)
 
 
 def factors(found: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,8 +151,7 @@ def without_repeats(
         if replies.num_rows:
             maybe = np.flatnonzero(_candidates(p, _anchor_bits(p, replies, parts)))
             keys, place = np.unique(p.window[maybe], return_inverse=True)
-            sizes = np.diff(exchange.cuts(keys, parts))
-            found[maybe] = exchange.totals_of(replies, _WINDOWS, bool, exchange.from_bits, sizes)[place]
+            found[maybe] = exchange.totals_of(replies, _WINDOWS, bool, exchange.from_bits, keys, parts)[place]
         text, first, n = factors(found, p.at, p.words.owner(), window)
         edge = np.zeros(len(p.words.starts) + 1, np.int64)
         np.add.at(edge, first, 1)
@@ -187,3 +185,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+
+ORACLE_SQL = {
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+r AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+j AS (SELECT w.doc_id, w.i, w.word, r.i AS window_at FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i),
+m AS (SELECT doc_id, i, word,
+             max(window_at) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS start FROM j),
+k AS (SELECT doc_id, count(*) AS n_words, count(start) AS n_removed,
+             coalesce(string_agg(CASE WHEN start IS NULL THEN word END, ' ' ORDER BY i), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+}
