@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import batches, words
+from tessera.llm.rows import fresh
 from tessera.plans.durable import durable
 from tessera.sources.tables import table
 
@@ -201,7 +202,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     bad = durable(contaminated(keyed, benchmark, "_key", "_text").select("_key").distinct())
-    return docs.withColumn("_doc_key", key).join(bad, F.col("_doc_key") == bad["_key"], "left_anti").drop("_doc_key")
+    own = fresh(docs, "_doc_key")
+    keyed = docs.withColumn(own, key)
+    return keyed.join(bad, keyed[own] == bad["_key"], "left_anti").drop(own)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

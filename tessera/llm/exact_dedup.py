@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import fresh
 from tessera.plans.durable import durable
 from tessera.plans.skew import grouped
 from tessera.sources.tables import table
@@ -114,15 +115,16 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).distinct()
     # A row goes when its id and text are among those dropped; of repeated rows with the keeper's own id one is put back.
     plain = durable(dropped)
-    hashed = docs.withColumn("_h", full_hash(squeezed(F.col(text_col))))
-    on = hashed[id_col].eqNullSafe(plain["_drop_id"]) & (hashed["_h"] == plain["_drop_hash"])
-    left = hashed.join(plain, on, "left_anti").drop("_h")
+    h, k = fresh(docs, "_hash"), fresh(docs, "_place")
+    hashed = docs.withColumn(h, full_hash(squeezed(F.col(text_col))))
+    on = hashed[id_col].eqNullSafe(plain["_drop_id"]) & (hashed[h] == plain["_drop_hash"])
+    left = hashed.join(plain, on, "left_anti").drop(h)
     twins = plain.where("_twin")
     if twins.isEmpty():
         return left
-    on = hashed[id_col].eqNullSafe(twins["_drop_id"]) & (hashed["_h"] == twins["_drop_hash"])
-    w = Window.partitionBy(id_col, "_h").orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col).asc_nulls_last())
-    back = hashed.join(twins, on, "left_semi").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_h")
+    on = hashed[id_col].eqNullSafe(twins["_drop_id"]) & (hashed[h] == twins["_drop_hash"])
+    w = Window.partitionBy(id_col, h).orderBy(F.length(text_col).desc_nulls_last(), F.col(text_col).asc_nulls_last())
+    back = hashed.join(twins, on, "left_semi").withColumn(k, F.row_number().over(w)).where(F.col(k) == 1).drop(k, h)
     return left.unionByName(back)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import batches, words
 from tessera.llm.exchange import column
+from tessera.llm.rows import fresh
 from tessera.plans.components import components
 from tessera.plans.durable import durable
 from tessera.plans.skew import grouped
@@ -35,8 +36,8 @@ from tessera.sources.tables import table
 
 COORDINATES, TOGETHER = 128, 4
 KEYS = COORDINATES // TOGETHER
-#: Classes of one posting that are compared in one place.
-BLOCK = 2048
+#: Classes of one posting that are compared in one place; two blocks meet in a group of twice as many.
+BLOCK = 1024
 #: Rows of postings, and of texts, that a task handles as one group, about.
 BIN_ROWS, TEXT_ROWS = 20_000, 1_500
 
@@ -168,12 +169,14 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         dense = np.zeros((m, min(width, int(shared.sum()) - a)), np.float32)
         dense[row[x:y], col[x:y] - a] = 1
         common += dense @ dense.T
-    both = np.rint(common).astype(np.int64)
-    tied = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    tied = np.empty((m, m), bool)
+    for a in range(0, m, 256):  # in stripes, so that the wide numbers stay few
+        both = np.rint(common[a : a + 256]).astype(np.int64)
+        tied[a : a + 256] = 100 * both >= percent * (sizes[a : a + 256, None] + sizes[None, :] - both)
     np.fill_diagonal(tied, True)
-    root = np.arange(m)
+    root = np.arange(m, dtype=np.int32)
     while True:
-        new = np.where(tied, root[None, :], m).min(axis=1)
+        new = np.concatenate([np.where(tied[a : a + 256], root[None, :], m).min(axis=1) for a in range(0, m, 256)]).astype(np.int32)
         new = np.minimum(new, new[new])
         if (new == root).all():
             return root
@@ -229,7 +232,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     gone = near_duplicates(keyed, "_key", "_text", shingle_words, percent).where(~F.col("kept")).select("_key").distinct()
-    return docs.withColumn("_row_key", key).join(gone, F.col("_row_key").eqNullSafe(gone["_key"]), "left_anti").drop("_row_key")
+    own = fresh(docs, "_row_key")
+    marked = docs.withColumn(own, key)
+    return marked.join(gone, marked[own].eqNullSafe(gone["_key"]), "left_anti").drop(own)
 
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int) -> DataFrame:

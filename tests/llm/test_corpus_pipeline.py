@@ -48,6 +48,11 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark, sf):
     assert got == [(0, "a b c d e f"), (1, "one  two"), (4, " ")]
     near = near_dedup.one_of_each(docs).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in near) == sorted([(0, "a b c d e f"), (0, "a b c d e f"), (0, ""), (1, "one two"), (2, "onetwo"), (3, ""), (4, " ")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        clash = spark.createDataFrame(ODD, "doc_id long, text string, _hash string, _key int")
+        clash = clash.withColumns({"_place": clash["_key"], "_row_key": clash["_key"], "_doc_key": clash["_key"], "_drop_id": clash["_key"]})
+        got = stage(spark, clash, sf)
+        assert got.columns == clash.columns and all(r["_place"] == r["_key"] for r in got.collect()), name
     for name, stage in corpus_pipeline.STAGES:
         frame = spark.createDataFrame([(d, t, k, i) for d, t, k, i in ODD], "doc_id long, text string, lang string, n_chars int")
         rows = stage(spark, frame, sf)
