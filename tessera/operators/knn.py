@@ -7,7 +7,7 @@ each block hands on its own k best per query only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,10 @@ QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
 
 
+#: A function of rows of queries and rows of vectors with a value for each pair.
+Distances = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def _check(k: int) -> None:
     if k <= 0:
         raise ValueError("k must be above 0")
@@ -81,15 +85,17 @@ def batch(
     vectors: DataFrame,
     queries: Sequence[tuple[object, Sequence[float]]],
     k: int,
-    metric: str = "cosine",
+    metric: str | Distances = "cosine",
     id_col: str = "id",
     vec: str = "vec",
     query_type: str = "long",
+    among: Distances | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id_col``, ``distance``: the ``k`` nearest to each query, ties by id.
 
     Queries are taken ``QUERY_BLOCK`` at a time. A task keeps ``k`` rows a query of each block of
     vectors; what is shuffled are those. Null vectors and those of another length don't count.
+    ``among`` says, for rows of queries and of vectors, which vectors a query may find: an index's candidates.
     """
     _check(k)
     out = None
@@ -112,13 +118,16 @@ def batch(
                     if not block.num_rows:
                         continue
                     x = block.column("_vec").flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
-                    d = distances(q, x, metric)
+                    d = metric(q, x) if callable(metric) else distances(q, x, metric)
+                    may = ~np.isnan(d) if among is None else among(q, x) & ~np.isnan(d)
+                    if among is not None:
+                        d = np.where(may, d, np.inf)
                     if k < d.shape[1]:
                         # The k-th smallest of each query; all as near as it go on, so ties are whole.
                         keep = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
                     else:
                         keep = np.ones(d.shape, bool)
-                    i, j = np.nonzero(keep & ~np.isnan(d))
+                    i, j = np.nonzero(keep & may)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([names[a] for a in i.tolist()]), block.column("_id").take(pa.array(j)), pa.array(d[i, j])], ["query_id", "_id", "distance"]
                     )
@@ -129,6 +138,38 @@ def batch(
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("_id").alias(id_col), "distance")
 
 
+def pairs(
+    vectors: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], metric: str = "cosine", id_col: str = "id", vec: str = "vec", query_type: str = "long"
+) -> DataFrame:
+    """``query_id``, ``id_col``, ``distance``: every vector against every query, without a shuffle.
+
+    Queries are taken ``QUERY_BLOCK`` at a time. Null vectors and those of another length don't count.
+    """
+    rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_vec"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    out = vectors.sparkSession.createDataFrame([], f"query_id {query_type}, _id {kind}, distance double")
+    for at in range(0, len(queries), QUERY_BLOCK):
+        some = queries[at : at + QUERY_BLOCK]
+        q, names = np.array([v for _, v in some], float), pa.array([i for i, _ in some])
+
+        def meet(parts: Iterator[pa.RecordBatch], q: np.ndarray = q, names: pa.Array = names) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for start in range(0, part.num_rows, 128):
+                    block = part.slice(start, 128)
+                    sizes = np.array([-1 if n is None else n for n in block.column("_vec").value_lengths().to_pylist()])
+                    block = block.filter(pa.array(sizes == q.shape[1]))
+                    if not block.num_rows:
+                        continue
+                    x = block.column("_vec").flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
+                    d = distances(q, x, metric)
+                    i, j = np.indices(d.shape)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i.ravel())), block.column("_id").take(pa.array(j.ravel())), pa.array(d.ravel())], ["query_id", "_id", "distance"])
+
+        found = rows.mapInArrow(meet, f"query_id {query_type}, _id {kind}, distance double")
+        out = out.unionByName(found) if at else found
+    return out.withColumnRenamed("_id", id_col)
+
+
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Distances of each row of ``q`` to each row of ``x``, as ``V.distance`` has them."""
     if metric == "dot":

@@ -118,6 +118,28 @@ def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.explode(sims).alias("p")).select(F.col("p.q").alias("query_id"), F.col("id").alias("vec_id"), F.round("p.s", 6).alias("similarity"))
 
 
+# -- the same for every vector whose id is divisible by 20
+
+EVERY = 20
+_BATCH_ALL = _BATCH.replace("vec_id < 5", f"vec_id % {EVERY} = 0")
+
+
+def _all_queries(e: DataFrame) -> list[tuple[int, list[float]]]:
+    return [(r["id"], list(r["vec"])) for r in e.where(F.col("id") % EVERY == 0).orderBy("id").collect()]
+
+
+@query("knn_batch_topk_all", f"{_BATCH_ALL} SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= {K}")
+def knn_batch_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return knn.batch(e, _all_queries(e), K).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
+
+
+@query("cosine_matrix_all", f"{_BATCH_ALL} SELECT query_id, vec_id, round(1 - d, 6) AS similarity FROM r")
+def cosine_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return knn.pairs(e, _all_queries(e)).select("query_id", F.col("id").alias("vec_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
 @query("knn_threshold", f"WITH {_E}, {_Q} SELECT vec_id, round({_COS}, 6) AS similarity FROM e, q WHERE {_COS} >= 0.2 ORDER BY {_COS} DESC, vec_id LIMIT 50")
 def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
@@ -396,3 +418,15 @@ def search_quality_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     top = knn.batch(e, _queries(e), K).withColumn("similarity", 1 - F.col("distance"))
     return quality.estimate(top, K).select("query_id", F.round("quality", 6).alias("quality"))
+
+
+@query(
+    "search_quality_estimate_all",
+    f"""{_BATCH_ALL}, t AS (SELECT query_id, 1 - d AS s FROM r WHERE rank <= {K})
+    SELECT query_id, round(least(1.0, greatest(0.0, 0.4 * least(1.0, count(*) / {K}.0)
+      + 0.5 * (1 / (1 + var_pop(s))) * (CASE WHEN max(s) < 0.5 THEN max(s) * 2 ELSE 1 END) + 0.1)), 6) AS quality FROM t GROUP BY query_id""",
+)
+def search_quality_estimate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    top = knn.batch(e, _all_queries(e), K).withColumn("similarity", 1 - F.col("distance"))
+    return quality.estimate(top, K).select("query_id", F.round("quality", 6).alias("quality"))
