@@ -125,3 +125,24 @@ def needs_rebuild(cells: DataFrame, least: int, most: int) -> bool:
     """Whether any cell has fewer than ``least`` or more than ``most`` vectors."""
     sizes = cells.groupBy("cid").count()
     return sizes.where((F.col("count") < least) | (F.col("count") > most)).limit(1).count() > 0
+
+
+def batch(
+    vectors: DataFrame,
+    queries: Sequence[tuple[object, Sequence[float]]],
+    centroids: np.ndarray,
+    k: int,
+    nprobe: int,
+    id_col: str = "id",
+    vec: str = "vec",
+) -> DataFrame:
+    """As ``knn.batch``, among the vectors in the ``nprobe`` cells nearest to each query; centroids in the order of their ids."""
+
+    def among(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        near = np.round(knn.distances(q, centroids, "l2"), 9).argsort(axis=1, kind="stable")[:, :nprobe]
+        visits = np.zeros((len(q), len(centroids)), bool)
+        visits[np.arange(len(q))[:, None], near] = True
+        d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+        return visits[:, np.round(d2, 9).argmin(axis=1)]
+
+    return knn.batch(vectors, queries, k, "cosine", id_col, vec, among=among)

@@ -64,3 +64,18 @@ def search(
     if not found.take(1):
         some = vectors
     return knn.nearest(some, query, k, "cosine", id_col, vec)
+
+
+def batch(
+    vectors: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], normals: np.ndarray, k: int, radius: int = 0, id_col: str = "id", vec: str = "vec"
+) -> DataFrame:
+    """As ``knn.batch``, among the vectors whose hash in some table differs from the query's in ``radius`` bits at most."""
+
+    def among(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        a, b = hashes(q, normals), hashes(x, normals)
+        out = np.zeros((len(q), len(x)), bool)
+        for t in range(normals.shape[0]):
+            out |= np.bitwise_count(a[:, t, None] ^ b[None, :, t]) <= radius
+        return out
+
+    return knn.batch(vectors, queries, k, "cosine", id_col, vec, among=among)

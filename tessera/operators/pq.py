@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import kmeans
+from tessera.functions import vectors as V
+from tessera.operators import kmeans, knn
 
 #: Codewords per part, at most: a code fits a byte.
 MOST_CODES = 256
@@ -92,3 +93,27 @@ def decoded(codes: DataFrame, book: np.ndarray, codes_col: str = "codes") -> Dat
     """``codes`` with ``vec``: the codewords in a row."""
     literal = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in word]) for word in part]) for part in book])
     return codes.withColumn("vec", F.flatten(F.transform(F.col(codes_col), lambda c, i: F.get(F.get(literal, i), c))))
+
+
+def table_distances(q: np.ndarray, x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Table distances of each row of ``q`` to the code of each row of ``x``."""
+    parts, _, step = book.shape
+    out = np.zeros((len(q), len(x)))
+    for p in range(parts):
+        part = slice(p * step, (p + 1) * step)
+        code = np.round(((x[:, None, part] - book[p][None]) ** 2).sum(axis=2), 9).argmin(axis=1)
+        out += ((q[:, None, part] - book[p][None]) ** 2).sum(axis=2)[:, code]
+    return np.round(out, 9)
+
+
+def batch(
+    vectors: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], book: np.ndarray, k: int, coarse: int, id_col: str = "id", vec: str = "vec"
+) -> DataFrame:
+    """The ``coarse`` nearest to each query by table distance, ranked anew by cosine, as ``knn.batch``; ``k`` at most."""
+    _check(book)
+    rough = knn.batch(vectors, queries, coarse, lambda q, x: table_distances(q, x, book), id_col, vec).select("query_id", id_col)
+    asked = vectors.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], "query_id long, _q array<double>")
+    both = rough.join(vectors.select(id_col, vec), id_col).join(F.broadcast(asked), "query_id")
+    found = both.select("query_id", id_col, (F.lit(1.0) - V.cosine(F.col(vec), F.col("_q"))).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_col, "distance")

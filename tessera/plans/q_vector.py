@@ -430,3 +430,38 @@ def search_quality_estimate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     top = knn.batch(e, _all_queries(e), K).withColumn("similarity", 1 - F.col("distance"))
     return quality.estimate(top, K).select("query_id", F.round("quality", 6).alias("quality"))
+
+
+# -- index searches for every vector whose id is divisible by 20, with parameters that find 9 of 10 true neighbours
+
+PROBES, RADIUS, PARTS, CODES, COARSE = 8, 3, 32, 256, 50
+
+
+@query("ivf_quality_all", _QUALITY.replace("vec_id < 5", f"vec_id % {EVERY} = 0").replace("pd.k <= 2", f"pd.k <= {PROBES}"))
+def ivf_quality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    queries = _all_queries(e)
+    _, _, c = _cells(e)
+    m = quality.metrics(ivf.batch(e, queries, c, K, PROBES), knn.batch(e, queries, K).select("query_id", "id"))
+    return m.select("query_id", *[F.round(x, 6).alias(x) for x in ("recall", "precision", "f1", "ndcg", "mrr")])
+
+
+@query(
+    "lsh_batch_topk",
+    f"""WITH {_E}, {_HASH}, s AS (SELECT DISTINCT q0.vec_id AS query_id, h.vec_id FROM h JOIN h q0 ON q0.vec_id % {EVERY} = 0 AND q0.table_id = h.table_id AND bit_count(xor(q0.hash, h.hash)) <= {RADIUS}),
+    d AS (SELECT query_id, s.vec_id, 1 - list_cosine_similarity(e.v, o.v) AS d FROM s JOIN e USING (vec_id) JOIN e o ON o.vec_id = query_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d)
+    SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= {K}""",
+)
+def lsh_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    found = lsh.batch(e, _all_queries(e), normals(), K, RADIUS)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
+
+
+@query("pq_batch_topk")
+def pq_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    book = pq.from_vectors([list(r["vec"]) for r in e.where(F.col("id") < CODES).orderBy("id").collect()], PARTS)
+    found = pq.batch(e, _all_queries(e), book, K, COARSE)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
