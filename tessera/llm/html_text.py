@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element is a line. A line's weight is its length, or 0 where
-it stands in a menu, header, footer, sidebar, notice, advert, form or comment, or is mostly links.
+it stands in a menu, header, footer, sidebar, notice, advert, form or comment, or outside a marked
+article and is mostly links.
 Sums of weights over sliding windows of lines show where text surges and where it dives back to
 nothing; the lines with weight between a surge and its dive are the page's text. If the page marks
 its article, only lines of the article have weight.
@@ -24,12 +25,13 @@ from tessera.sources.tables import table
 
 #: Lines in a window, and the weight at which a window's sum counts as a surge.
 WINDOW, SURGE = 3, 80
-#: A line with a larger share of its characters inside links has no weight.
+#: A line outside the article with a larger share of its characters inside links has no weight.
 LINKED = 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|title|head)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|object|canvas|title)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    r"|<(?P<drawing>svg|math)\b(?P<empty>[^>]*+)(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
     re.S | re.I,
@@ -38,6 +40,11 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split()
 )
+#: What a head may hold besides the elements that are dropped whole; anything else begins the body.
+_HEAD = frozenset("html head base basefont bgsound link meta".split())
+_HEAD_END = re.compile(r"</head\s*+>", re.I)
+_DRAWING_END = {x: re.compile(rf"</{x}\s*+>", re.I) for x in ("svg", "math")}
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no part of an article, and those that do even if named like one that doesn't.
 _ASIDE = frozenset("nav aside footer form menu dialog search".split())
@@ -83,34 +90,66 @@ def lines(page: str) -> list[Line]:
     text: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # name, whether it skips, whether it is the article
     count: Counter[str] = Counter()  # of the names in open_
-    skipping = articles = links = linked = 0
+    skipping = articles = linked = 0
+    dropped: list[bool] = []  # for each line, whether something other than a link takes its weight
+    link = -1  # the line in which the open link began
+    hidden = ""  # head, svg or math while its text is dropped
+    head_end: int | None = None  # where the page's last </head> is
+    none_after: dict[str, bool] = {}  # drawings that are known to have no end from here on
 
     def end_line() -> None:
         nonlocal linked
         joined = " ".join(_html.unescape("".join(text)).split())
         if joined:
-            menu = skipping or linked > LINKED * sum(map(len, text))
+            menu = skipping or (not articles and linked > LINKED * sum(map(len, text)))
+            dropped.append(skipping > 0)
             out.append(Line(joined, 0 if menu else len(joined), articles > 0))
         text.clear()
         linked = 0
 
+    def unclosed() -> None:
+        """The open link has no end: it holds no more than the line in which it began."""
+        nonlocal link, linked
+        if 0 <= link < len(out):
+            for i in range(link + 1, len(out)):
+                out[i].weight = 0 if dropped[i] else len(out[i].text)
+            linked = 0
+        link = -1
+
+    def shown(piece: str) -> bool:
+        nonlocal hidden
+        if hidden == "head" and piece.strip() and at > head_end:
+            hidden = ""  # text that no end of the head follows begins the body
+        return not hidden
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         piece = page[at : m.start()]
-        if piece:
+        if piece and shown(piece):
             text.append(piece)
-            if links:
+            if link >= 0:
                 linked += len(piece.strip())
         at = m.end()
+        if drawing := (m["drawing"] or "").lower():
+            if not m["empty"].endswith("/") and not hidden:
+                end = None if none_after.get(drawing) else _DRAWING_END[drawing].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    none_after[drawing], hidden = True, drawing
+            continue
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if m["close"]:
+            if name == "head" and hidden == "head":
+                hidden = ""
             if name in _BLOCKS:
+                hidden = hidden if hidden == "head" else ""
                 end_line()
             if name == "a":
-                links = max(0, links - 1)
+                link = -1
             if count[name]:
                 while open_:
                     last, skips, article = open_.pop()
@@ -120,12 +159,19 @@ def lines(page: str) -> list[Line]:
                     if last == name:
                         break
             continue
+        if name == "head" and count["html"] == len(open_) and not hidden and not out:
+            hidden = "head"
+            head_end = max((x.start() for x in _HEAD_END.finditer(page)), default=-1)
+        elif hidden == "head" and name not in _HEAD or hidden and name in _BLOCKS:
+            hidden = ""
         if name in ("br", "td", "th"):
             text.append(" ")
         if name in _BLOCKS:
             end_line()
         if name == "a":
-            links += 1
+            unclosed()
+            if _HREF.search(m["attrs"]):
+                link = len(out)
         if name in _VOID or m["attrs"].endswith("/"):
             continue
         if name in _BLOCKS or name in ("span", "ins"):
@@ -139,9 +185,10 @@ def lines(page: str) -> list[Line]:
             count[name] += 1
             skipping += skips
             articles += article
-    if at < len(page):
+    if at < len(page) and shown(page[at:]):
         text.append(page[at:])
     end_line()
+    unclosed()
     return out
 
 
