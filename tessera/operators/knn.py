@@ -49,10 +49,13 @@ def nearest(vectors: DataFrame, query: V.Vector, k: int, metric: str = "cosine",
     return scored(vectors, query, metric, vec).where("distance is not null").orderBy("distance", id_col).limit(k)
 
 
-def nearest_above(vectors: DataFrame, query: V.Vector, threshold: float, k: int, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """The ``k`` nearest by cosine of those with a similarity of ``threshold`` or more."""
+def nearest_above(vectors: DataFrame, query: V.Vector, threshold: float, k: int | None = None, id_col: str = "id", vec: str = "vec") -> DataFrame:
+    """All rows with a cosine of ``threshold`` or more, in no order; with ``k``, the ``k`` nearest of them."""
+    found = scored(vectors, query, "cosine", vec).where(F.col("similarity") >= threshold)
+    if k is None:
+        return found
     _check(k)
-    return scored(vectors, query, "cosine", vec).where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), id_col).limit(k)
+    return found.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
 def nearest_where(vectors: DataFrame, query: V.Vector, k: int, predicate: Column, first: bool = True, id_col: str = "id", vec: str = "vec") -> DataFrame:

@@ -90,6 +90,12 @@ def sort_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_first("p"), "o_orderkey").limit(30)
 
 
+@query("sort_nulls_all", "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders ORDER BY p DESC NULLS FIRST, o_orderkey")
+def sort_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
+    return rows.orderBy(F.desc_nulls_first("p"), "o_orderkey")
+
+
 # -- monitoring: event types stand for strategies, user ids for sources
 
 

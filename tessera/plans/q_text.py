@@ -170,10 +170,18 @@ _HITS = f"h AS (SELECT doc_id, count(DISTINCT word) AS n_hits FROM p WHERE word
     SELECT doc_id, n_hits, round(n_hits / n, 6) AS similarity FROM h JOIN s USING (doc_id) ORDER BY n_hits DESC, round(n_hits / n, 6) DESC, doc_id LIMIT 50""",
 )
 def kw_count_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kw_count_rank_all(spark, sf_dir).orderBy(F.desc("n_hits"), F.desc("similarity"), "doc_id").limit(50)
+
+
+@query(
+    "kw_count_rank_all",
+    f"""WITH {_POSTINGS}, {_HITS}, s AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id)
+    SELECT doc_id, n_hits, round(n_hits / n, 6) AS similarity FROM h JOIN s USING (doc_id)""",
+)
+def kw_count_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _postings(spark, sf_dir)
     sizes = p.groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = postings.hits(p, _SEARCH).join(sizes, "doc_id").withColumn("similarity", F.round(F.col("n_hits") / F.col("n"), 6)).drop("n")
-    return found.orderBy(F.desc("n_hits"), F.desc("similarity"), "doc_id").limit(50)
+    return postings.hits(p, _SEARCH).join(sizes, "doc_id").withColumn("similarity", F.round(F.col("n_hits") / F.col("n"), 6)).drop("n")
 
 
 @query(

@@ -146,6 +146,12 @@ def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_above(e, vector(e), 0.2, 50).select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_threshold_all", f"WITH {_E}, {_Q} SELECT vec_id, round({_COS}, 6) AS similarity FROM e, q WHERE {_COS} >= 0.2")
+def knn_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return knn.nearest_above(e, vector(e), 0.2).select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("knn_filtered_pre", f"WITH {_E}, {_Q} SELECT vec_id, round(1 - {_COS}, 6) AS distance FROM e, q WHERE label = 3 ORDER BY 1 - {_COS}, vec_id LIMIT {K}")
 def knn_filtered_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
