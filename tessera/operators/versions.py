@@ -96,10 +96,39 @@ def waits(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def _spread(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node``, ``mark``: the largest mark that reaches each marked node along ``edges`` (``source``, ``target``)."""
+    now = durable(marks)
+    while True:
+        sent = now.join(edges, now["node"] == edges["source"]).select(F.col("target").alias("node"), "mark")
+        step = durable(now.unionByName(sent).groupBy("node").agg(F.max("mark").alias("mark")))
+        changed = step.join(now, ["node", "mark"], "left_anti").limit(1).count()
+        now = step
+        if not changed:
+            return now
+
+
 def deadlocked(edges: DataFrame) -> DataFrame:
-    """``tx``: the transactions that wait for themselves, directly or not."""
-    return waits(_only_cycles(edges)).where("waiter = holder").select(F.col("waiter").alias("tx"))
+    """``tx``: the transactions that wait for themselves, directly or not.
 
+    The largest id that reaches a transaction is its mark; those that reach the transaction of their
+    own mark by others of that mark wait for each other. They are taken out, and the rest is marked anew.
+    What is stored grows with the edges, not with the pairs that reach each other.
+    """
+    left = _only_cycles(edges)
+    out = left.select(F.col("waiter").alias("tx")).limit(0)
+    while left.limit(1).count():
+        nodes = left.select(F.col("waiter").alias("node")).union(left.select("holder")).distinct()
+        marks = _spread(nodes.withColumn("mark", F.col("node")), left.select(F.col("waiter").alias("source"), F.col("holder").alias("target")))
+        of = marks.select(F.col("node").alias("waiter"), F.col("mark").alias("own")), marks.select(F.col("node").alias("holder"), F.col("mark").alias("other"))
+        inner = durable(left.join(of[0], "waiter").join(of[1], "holder").where("own = other").select("waiter", "holder"))
+        back = inner.select(F.col("holder").alias("source"), F.col("waiter").alias("target"))
+        ring = _spread(marks.where("node = mark"), back).select("node")
+        within = inner.join(ring.withColumnRenamed("node", "waiter"), "waiter", "left_semi").join(ring.withColumnRenamed("node", "holder"), "holder", "left_semi")
+        out = durable(out.unionByName(within.select(F.col("waiter").alias("tx"))).distinct())
+        rest = inner.join(ring.withColumnRenamed("node", "waiter"), "waiter", "left_anti").join(ring.withColumnRenamed("node", "holder"), "holder", "left_anti")
+        left = _only_cycles(rest)
+    return out
 
 def modulo_shard(key: Column, shards: int) -> Column:
     """The key modulo the number of shards, from 0."""

@@ -322,6 +322,15 @@ def deadlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.deadlocked(e)
 
 
+@query("deadlocks_all")
+def deadlocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits among all users: the one of an error event waits for the one that the event's id falls to."""
+    e = events(spark, sf_dir)
+    users = e.agg(F.max("user_id")).first()[0] or 0
+    waits = e.where("event_type = 'error'").select(F.col("user_id").alias("waiter"), (F.col("event_id") % F.lit(users + 1)).alias("holder"))
+    return versions.deadlocked(waits)
+
+
 # -- conversations and prompts
 
 
