@@ -15,11 +15,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import batches, bpe
-from tessera.llm.token_counts import REMEMBERED, REMEMBERED_LENGTH
 from tessera.sources.tables import table
 
 #: Runs of more bytes are cut into halves.
@@ -81,25 +81,15 @@ def encode_runs(runs: list[bytes], vocabulary: bpe.ByteBpe, leaf: int = LEAF_BYT
     return [x[0] for x in levels]
 
 
-def encode_texts(texts: list[str], vocabulary: bpe.ByteBpe, known: dict[str, tuple[int, ...]]) -> list[list[int]]:
-    """The token ids of each text. ``known`` holds short pre-tokens seen before; it is added to."""
-    split = [vocabulary.pretokens(t) for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = bpe.missing(split, known)
-    special = [t for t in new if t in vocabulary.specials]
-    known.update((t, (vocabulary.specials[t],)) for t in special)
-    new = [t for t in new if t not in vocabulary.specials]
-    known.update(zip(new, map(tuple, encode_runs([t.encode("utf-8", "surrogatepass") for t in new], vocabulary)), strict=True))
-    out = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
-    for t in new:
-        if len(t) > REMEMBERED_LENGTH:
-            del known[t]
-    return out
+def encoder(vocabulary: bpe.ByteBpe) -> bpe.Encode:
+    """Sequences of ``LEAF_BYTES`` at most are merged together, longer ones as trees."""
 
+    def encode(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        long_ = [i for i, x in enumerate(sequences) if len(x) > LEAF_BYTES]
+        ids, offsets = vocabulary.merge([b"" if len(x) > LEAF_BYTES else x for x in sequences])
+        return bpe.splice(ids, offsets, long_, encode_runs([sequences[i] for i in long_], vocabulary)) if long_ else (ids, offsets)
 
-def decode_ids(ids: list[int], vocabulary: bpe.ByteBpe) -> str:
-    return b"".join(map(vocabulary.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+    return encode
 
 
 def bpe_codec(
@@ -118,14 +108,13 @@ def bpe_codec(
     kind = rows.schema["_id"].dataType.simpleString()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = bpe.load(tokenizer), {}
+        vocabulary = bpe.load(tokenizer)
+        memory = bpe.Memory(vocabulary, encoder(vocabulary))
         for part in batches.pieces(parts, "_text"):
-            ids = encode_texts(batches.texts(part, "_text"), vocabulary, known)
-            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            cols = [part.column("_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            ids, offsets = memory.ids(part.column("_text"))
+            cols = [part.column("_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
             if decoded:
-                cols.append(pa.array([decode_ids(x, vocabulary) for x in ids], pa.string()))
+                cols.append(vocabulary.decode(ids, offsets).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(cols, ["_id", "ids", "decoded"][: len(cols)])
 
     schema = f"_id {kind}, ids array<int>" + ", decoded string" * decoded
@@ -142,8 +131,10 @@ def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
         for part in parts:
             for at in range(0, part.num_rows, 256):
                 some = part.slice(at, 256)
-                texts = [decode_ids(x or [], vocabulary) for x in some.column("_ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("_id"), pa.array(texts, pa.string())], ["_id", "text"])
+                sizes = pc.fill_null(pc.list_value_length(some.column("_ids")), 0).to_numpy(zero_copy_only=False)
+                ids = some.column("_ids").flatten().to_numpy(zero_copy_only=False)
+                texts = vocabulary.decode(ids, np.r_[0, np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([some.column("_id"), texts.cast(pa.string())], ["_id", "text"])
 
     return rows.mapInArrow(decode, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
 

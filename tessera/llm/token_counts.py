@@ -2,48 +2,24 @@
 
 Texts are split into pre-tokens; the distinct ones of a piece of text are merged together as ragged
 numpy arrays (see :meth:`tessera.llm.bpe.ByteBpe.merge`) and their surviving symbols counted. A
-worker remembers the counts of short pre-tokens, up to a bound that only affects speed.
+worker remembers short pre-tokens (see :class:`tessera.llm.bpe.Memory`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import batches, bpe
 from tessera.sources.tables import table
 
-#: Pre-tokens that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 250_000, 40
 TOKEN_LIMIT = 1024
 
 
-def count_texts(texts: list[str], vocabulary: bpe.ByteBpe, known: dict[str, int]) -> list[int]:
-    """The number of tokens of each text. ``known`` is read and added to."""
-    split = [vocabulary.pretokens(t) for t in texts]
-    new = bpe.missing(split, known)
-    here = {t: 1 for t in new if t in vocabulary.specials}
-    new = [t for t in new if t not in here]
-    _, offsets = vocabulary.merge([t.encode("utf-8", "surrogatepass") for t in new])
-    here.update(zip(new, np.diff(offsets).tolist(), strict=True))
-    if len(known) + len(here) > REMEMBERED:
-        old = dict(known)
-        known.clear()
-        counts = [sum(here[t] if t in here else old[t] for t in s) for s in split]
-        known.update((t, n) for t, n in here.items() if len(t) <= REMEMBERED_LENGTH)
-        return counts
-    known.update(here)
-    counts = [sum(map(known.__getitem__, s)) for s in split]
-    for t in here:
-        if len(t) > REMEMBERED_LENGTH:
-            del known[t]
-    return counts
-
-
 def token_counts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -60,14 +36,11 @@ def token_counts(
     kind = rows.schema["_id"].dataType.simpleString()
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = bpe.load(tokenizer), {}
+        memory = bpe.Memory(bpe.load(tokenizer))
         for part in batches.pieces(parts, "_text"):
-            texts = batches.texts(part, "_text")
-            counts = count_texts(texts, vocabulary, known)
-            sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["_id", "n_bytes", "n_tokens"]
-            )
+            text = part.column("_text")
+            sizes = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("_id"), sizes, pa.array(memory.counts(text))], ["_id", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(count, f"_id {kind}, n_bytes long, n_tokens long").withColumnRenamed("_id", id_col)
 

@@ -69,16 +69,24 @@ class Words:
         return np.arange(len(self.starts)) - np.repeat(self.first[:-1], self.counts())
 
 
-def split(column: pa.Array, lower: bool = False, gaps: np.ndarray = SPACES) -> Words:
-    """The words of the strings of a column; null counts as empty. ``lower``: A-Z as a-z."""
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, and where each begins, and the end; null counts as empty."""
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
     if len(column) == 0:
-        z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint8), z, z, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
+    return data, at - at[0]
+
+
+def split(column: pa.Array, lower: bool = False, gaps: np.ndarray = SPACES) -> Words:
+    """The words of the strings of a column; null counts as empty. ``lower``: A-Z as a-z."""
+    data, at = bytes_of(column)
+    if not len(data):
+        z = np.zeros(0, np.int64)
+        return Words(data, z, z, np.zeros(len(at), np.int64), at)
     if lower:
         data = _LOWER[data]
     gap = gaps[data]
