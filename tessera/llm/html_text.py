@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block element is a line. A line's weight is its length, or 0 where
-it stands in a menu, header, footer, sidebar, notice, advert, form or comment, or outside a marked
-article and is mostly links.
-Sums of weights over sliding windows of lines show where text surges and where it dives back to
-nothing; the lines with weight between a surge and its dive are the page's text. If the page marks
-its article, only lines of the article have weight.
+Markup is stripped so that every block element is a line. A line weighs its length. Where it stands
+in a menu, header, footer, sidebar, form or hidden element, as tags and roles say, or is mostly
+links, it weighs nothing; where class names only suggest that, it weighs less; where the page marks
+its article, its lines weigh ``MARK`` more. Lines that marks or hints set apart are a region of
+their own. Along the lines of each region, sums of weights over sliding windows show where text surges and
+where it dives back to nothing; the lines between a surge and its dive are the page's text.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from tessera.sources.tables import table
 
 #: Lines in a window, and the weight at which a window's sum counts as a surge.
 WINDOW, SURGE = 3, 80
+#: What a line of a marked article weighs more; on such pages a surge is an eighth of it.
+MARK = 1_000_000
+#: Factors of weight where a class name as a whole, or in part, names something other than the article.
+NAMED, HINTED = 0.001, 0.5
 #: A line outside the article with a larger share of its characters inside links has no weight.
 LINKED = 0.5
 
@@ -50,48 +54,61 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ASIDE = frozenset("nav aside footer form menu dialog search".split())
 _ARTICLE = frozenset(["article", "main"])
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|alert|newsletter|subscri\w+|signup"
-    r"|sidebar\w*|widget\w*|related|recommend\w*|share|sharing|social|breadcrumbs?|menu\w*|nav|navbar|navigation|footer|masthead|topbar"
-    r"|comments?|commentlist|respond|disqus\w*|replies|popup|modal|overlay|login|pagination|pager|toolbar|hidden)(?=$|[\s_-])",
-    re.I,
+#: Parts of class names that say what else than an article an element holds, and those that say nothing.
+_OTHERS = frozenset(
+    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter"
+    " subscribe subscription signup sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav"
+    " navbar navigation footer masthead topbar comment comments commentlist respond disqus replies popup modal overlay login pagination pager toolbar hidden".split()
 )
-_PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|top)[_-])?header(?=$|\s)", re.I)
+_NEUTRAL = frozenset(
+    "area bar block bottom box button buttons card cards col column container footer form global group header inner item items left lg link links list"
+    " md message module outer page panel posts primary right row secondary section site slot sm stories thread top unit wrap wrapper".split()
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_PAGE_HEADERS = frozenset("header site-header site_header page-header page_header main-header main_header top-header top_header".split())
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 
 @dataclass
 class Line:
     text: str
-    weight: int
+    weight: float
     in_article: bool
+    region: int
 
 
-def _skips(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds something other than the article."""
-    if name in _ASIDE or (name == "header" and not in_article):
-        return True
+def _factor(name: str, attrs: str, in_article: bool) -> float:
+    """What the weight of an element's lines is multiplied by: 0 if it holds something other than the article."""
+    if name in _ASIDE or name == "button" or (name == "header" and not in_article):
+        return 0
     if not attrs.strip(" /\t\r\n") or name in ("html", "body", "article", "main"):
-        return False
+        return 1
+    factor = 1.0
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and (_HINT.search(value) or (not in_article and _PAGE_HEADER.search(value))):
-            return True
+        if key in ("class", "id"):
+            for word in value.split():
+                parts = {x.lower() for x in _PARTS.findall(word) if not x.isdigit()}
+                if not in_article and word.lower() in _PAGE_HEADERS or parts & _OTHERS and parts <= _OTHERS | _NEUTRAL:
+                    factor = min(factor, NAMED)
+                elif parts & _OTHERS:
+                    factor = min(factor, HINTED)
         if key == "hidden" or (key == "role" and value.lower() in _ROLES) or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 0
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 0
+    return factor
 
 
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, with white space inside a block as one space; empty ones left out."""
     out: list[Line] = []
     text: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, whether it skips, whether it is the article
+    open_: list[tuple[str, float, int, bool]] = []  # name; factor and region of its parent; whether it is the article
     count: Counter[str] = Counter()  # of the names in open_
-    skipping = articles = linked = 0
-    dropped: list[bool] = []  # for each line, whether something other than a link takes its weight
+    factor, region, regions = 1.0, 0, 0
+    articles = linked = 0
+    full: list[float] = []  # for each line, its weight if links are left aside
     link = -1  # the line in which the open link began
     hidden = ""  # head, svg or math while its text is dropped
     head_end: int | None = None  # where the page's last </head> is
@@ -101,9 +118,9 @@ def lines(page: str) -> list[Line]:
         nonlocal linked
         joined = " ".join(_html.unescape("".join(text)).split())
         if joined:
-            menu = skipping or (not articles and linked > LINKED * sum(map(len, text)))
-            dropped.append(skipping > 0)
-            out.append(Line(joined, 0 if menu else len(joined), articles > 0))
+            full.append(factor * (len(joined) + MARK * (articles > 0)))
+            menu = not articles and linked > LINKED * sum(map(len, text))
+            out.append(Line(joined, 0 if menu else full[-1], articles > 0, region))
         text.clear()
         linked = 0
 
@@ -112,15 +129,22 @@ def lines(page: str) -> list[Line]:
         nonlocal link, linked
         if 0 <= link < len(out):
             for i in range(link + 1, len(out)):
-                out[i].weight = 0 if dropped[i] else len(out[i].text)
+                out[i].weight = full[i]
             linked = 0
         link = -1
 
+    def close() -> str:
+        nonlocal factor, region, articles
+        last, factor, region, article = open_.pop()
+        count[last] -= 1
+        articles -= article
+        return last
+
     def shown(piece: str) -> bool:
         nonlocal hidden
         if hidden == "head" and piece.strip() and at > head_end:
             hidden = ""  # text that no end of the head follows begins the body
-        return not hidden
+        return not hidden and not count["button"]
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -151,13 +175,8 @@ def lines(page: str) -> list[Line]:
             if name == "a":
                 link = -1
             if count[name]:
-                while open_:
-                    last, skips, article = open_.pop()
-                    count[last] -= 1
-                    skipping -= skips
-                    articles -= article
-                    if last == name:
-                        break
+                while close() != name:
+                    pass
             continue
         if name == "head" and count["html"] == len(open_) and not hidden and not out:
             hidden = "head"
@@ -174,17 +193,17 @@ def lines(page: str) -> list[Line]:
                 link = len(out)
         if name in _VOID or m["attrs"].endswith("/"):
             continue
-        if name in _BLOCKS or name in ("span", "ins"):
+        if name in _BLOCKS or name in ("span", "ins", "button"):
             if name == "p" and open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li":
-                _, skips, article = open_.pop()  # these end where the next begins
-                count[name] -= 1
-                skipping -= skips
-                articles -= article
-            skips, article = _skips(name, m["attrs"], articles > 0), name in _ARTICLE
-            open_.append((name, skips, article))
+                close()  # these end where the next begins
+            own, article = _factor(name, m["attrs"], articles > 0), name in _ARTICLE
+            open_.append((name, factor, region, article))
             count[name] += 1
-            skipping += skips
             articles += article
+            if own < 1:
+                regions += 1
+                region = regions
+            factor = min(factor, own)
     if at < len(page) and shown(page[at:]):
         text.append(page[at:])
     end_line()
@@ -192,10 +211,10 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+def stretches(weights: list[float], window: int = WINDOW, surge: float = SURGE, heaviest: bool = True) -> list[tuple[int, int]]:
     """(surge, dive) for each stretch of lines: from the first line of a window whose sum reaches
-    ``surge`` to the line after which a whole window is empty. Where no window reaches it, the
-    stretches with the largest sum count."""
+    ``surge`` to the line after which a whole window is empty. Both ends have weight. Where no window
+    reaches it, the stretches with the largest sum count if ``heaviest``."""
     runs, start, last = [], None, -1
     for i, x in enumerate(weights):
         if not x:
@@ -208,19 +227,43 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     if start is not None:
         runs.append((start, last + 1))
     high = [(a, b) for a, b in runs if max(sum(weights[i : i + window]) for i in range(a, b)) >= surge]
-    if high or not runs:
+    if high or not runs or not heaviest:
         return high
     most = max(sum(weights[a:b]) for a, b in runs)
     return [(a, b) for a, b in runs if sum(weights[a:b]) == most]
 
 
-def main_text(page: str) -> str:
-    """The main text of a page: its lines with weight between surge and dive, joined by a newline."""
+def main_text(page: str, window: int = WINDOW) -> str:
+    """The main text of a page: its lines between surge and dive, joined by a newline.
+
+    A line of links in the middle of a stretch stays if it stands alone; several in a row are a menu.
+    Where no window reaches a surge, the heaviest stretch counts. ``window`` 0 keeps every line that
+    has weight, without the distribution.
+    """
     found = lines(page)
-    marked = any(x.in_article and x.weight for x in found)
-    weights = [x.weight if x.in_article or not marked else 0 for x in found]
-    runs = stretches(weights, surge=1 if marked else SURGE)
-    return "\n".join(found[i].text for a, b in runs for i in range(a, b) if weights[i])
+    if not window:
+        return "\n".join(x.text for x in found if x.weight)
+    by_region: dict[tuple[int, bool], list[int]] = {}
+    for i, x in enumerate(found):
+        by_region.setdefault((x.region, x.in_article), []).append(i)
+    surge = MARK / 8 if any(x.in_article and x.weight for x in found) else SURGE
+
+    runs = []
+    for heaviest in (False, True):
+        for places in by_region.values():
+            weights = [found[i].weight for i in places]
+            runs += [(sum(weights[a:b]), places[a:b]) for a, b in stretches(weights, window, surge, heaviest)]
+        if runs:
+            break
+    else:
+        return ""
+    if heaviest:
+        most = max(x for x, _ in runs)
+        runs = [x for x in runs if x[0] == most]
+    stay = []
+    for _, run in runs:
+        stay += [i for k, i in enumerate(run) if found[i].weight or (found[run[k - 1]].weight and found[run[k + 1]].weight)]
+    return "\n".join(found[i].text for i in sorted(stay))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
