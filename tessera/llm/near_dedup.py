@@ -1,19 +1,26 @@
 """Near-duplicate detection by an inverted join of MinHash signature coordinates.
 
-1. A document's set of word shingles gives a signature of 128 coordinates. Documents with equal sets
+1. A document's set of word shingles gives a signature of 64 coordinates. Documents with equal sets
    form a class; from here on a class stands for all its copies.
-2. Classes are posted under the values of their coordinates, four coordinates to a posting key.
-   Keys that only one class has are dropped.
-3. Classes under one key are compared by the number of equal coordinates. A pair is counted only at
-   the first key that it shares and skipped at later ones. Pairs with enough equal coordinates are
-   retained: the key's classes that are in such a pair go on as one small group. Postings longer
-   than a block are compared block by block, each pair of blocks on its own.
-4. The groups' texts are read again and similarity is confirmed on the full shingle sets. Each group
-   gives the links of a spanning star, never all pairs, and connected components follow.
-
-With 32 keys of four coordinates, a pair at the similarity of 0.85 shares no key with a probability
-of 6e-11 (at 0.8: 5e-8); the number of equal coordinates is held to six standard deviations below
-the one expected at the threshold.
+2. Every class is posted under each of its coordinate-value pairs, and postings are counted. With T
+   the least number of coordinates that two classes must have in common, a class with fewer than T
+   pairs that others have too is done.
+3. Prefix: all pairs are ordered by the length of their posting. Two classes with T in common share
+   one among the 64 - T + 1 rarest pairs of each, so only those postings are merged; the longest
+   ones are skipped.
+4. In a merged posting a class is held against a pivot after the other; equal coordinates of the
+   whole signatures are counted, and a pair counts at the lowest prefix coordinate that it shares
+   only. Once a class has a partner with T in common it needs no other.
+5. The texts of classes with partners are read again and similarity is confirmed on the full shingle
+   sets, each class against those that aren't in its component yet. Components give the links of a
+   spanning star, never all pairs.
+
+Postings longer than a block, in classes or bytes, are cut into blocks that all hold the posting's
+pivots. The blocks of a posting whose classes have not become one component by that are then held
+against each other, leaving out pairs of blocks of one component.
+
+T lies six standard deviations below the number of equal coordinates at the threshold; a pair at the
+threshold is missed with a probability of about 1e-9, one above it with less.
 """
 
 from __future__ import annotations
@@ -22,11 +29,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import batches, words
+from tessera.llm.bpe import gathered
 from tessera.llm.exchange import column
 from tessera.llm.rows import fresh
 from tessera.plans.components import components
@@ -34,12 +43,11 @@ from tessera.plans.durable import durable
 from tessera.plans.skew import grouped
 from tessera.sources.tables import table
 
-COORDINATES, TOGETHER = 128, 4
-KEYS = COORDINATES // TOGETHER
-#: Classes of one posting that are compared in one place; two blocks meet in a group of twice as many.
-BLOCK = 1024
-#: Rows of postings, and of texts, that a task handles as one group, about.
-BIN_ROWS, TEXT_ROWS = 20_000, 1_500
+COORDINATES = 64
+#: Classes of one posting, and bytes of their texts, that are compared in one place, and the pivots among them.
+BLOCK, BLOCK_BYTES, PIVOTS = 1024, 8 << 20, 32
+#: Rows of postings, and bytes of texts, that a task handles as one group, about.
+BIN_ROWS, BIN_BYTES = 20_000, 16 << 20
 
 _RNG = np.random.default_rng(20_231_105)
 _XOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -69,20 +77,16 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[new], np.r_[0, np.cumsum(np.bincount(of[new], minlength=len(counts)))]
 
 
-def signatures(gram: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sets that aren't empty: posting keys, the low byte of each coordinate, and a 128-bit sum."""
+def signatures(gram: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sets that aren't empty: the value of each coordinate, and a 128-bit sum."""
     first = offsets[:-1][np.diff(offsets) > 0]
     if not len(first):
-        return np.zeros((0, KEYS), np.int64), np.zeros((0, COORDINATES), np.uint8), np.zeros((0, 2), np.int64)
-    low = np.empty((len(first), COORDINATES), np.uint8)
-    keys = np.zeros((len(first), KEYS), np.uint64)
+        return np.zeros((0, COORDINATES), np.int32), np.zeros((0, 2), np.int64)
+    value = np.empty((len(first), COORDINATES), np.uint32)
     for c in range(COORDINATES):
-        value = np.minimum.reduceat(((gram ^ _XOR[c]) * _MULTIPLY[c]) >> np.uint64(32), first)
-        low[:, c] = value & np.uint64(255)
-        k = c // TOGETHER
-        keys[:, k] = words.mix(keys[:, k] * np.uint64(0x9E3779B97F4A7C15) + value + np.uint64(c + 1))
+        value[:, c] = np.minimum.reduceat(((gram ^ _XOR[c]) * _MULTIPLY[c]) >> np.uint64(32), first)
     sums = [np.add.reduceat(words.mix(gram ^ x), first) for x in _XOR[:2]]
-    return keys.view(np.int64), low, np.stack(sums, axis=1).view(np.int64)
+    return value.view(np.int32), np.stack(sums, axis=1).view(np.int64)
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -93,20 +97,18 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         for part in batches.pieces(parts, "_text"):
             gram, offsets = shingle_sets(part.column("_text"), n)
             sizes = np.diff(offsets)
-            keys, low, sums = signatures(gram, offsets)
+            value, sums = signatures(gram, offsets)
             some = sizes > 0
-            at = np.cumsum(some) - 1
             hi, lo = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
             hi[some], lo[some] = sums[:, 0], sums[:, 1]
-            listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * KEYS].astype(np.int32)), pa.array(keys.ravel()))
-            raw = low.tobytes()
-            low_bytes = [raw[i * COORDINATES : (i + 1) * COORDINATES] if s else None for i, s in zip(at.tolist(), some.tolist(), strict=True)]
+            listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some) * COORDINATES].astype(np.int32)), pa.array(value.ravel()))
+            n_bytes = pc.fill_null(pc.binary_length(part.column("_text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), pa.array(sizes, pa.int64()), pa.array(hi), pa.array(lo), listed, pa.array(low_bytes, pa.binary())],
-                ["_id", "_n", "_hi", "_lo", "_keys", "_low"],
+                [part.column("_id"), pa.array(sizes, pa.int64()), n_bytes, pa.array(hi), pa.array(lo), listed],
+                ["_id", "_n", "_bytes", "_hi", "_lo", "_sig"],
             )
 
-    return rows.mapInArrow(sign, f"_id {kind}, _n long, _hi long, _lo long, _keys array<long>, _low binary")
+    return rows.mapInArrow(sign, f"_id {kind}, _n long, _bytes long, _hi long, _lo long, _sig array<int>")
 
 
 def least_matches(similarity: float) -> int:
@@ -115,72 +117,69 @@ def least_matches(similarity: float) -> int:
     return max(1, math.floor(COORDINATES * similarity - 6 * spread))
 
 
-def _pairs(sizes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs i < j within each run of rows, at most about ``limit`` (or one row's pairs) at a time."""
-    ends = np.cumsum(sizes)
-    last = np.repeat(ends, sizes)  # where each row's run ends
-    ahead = last - np.arange(len(last)) - 1
-    total = np.r_[0, np.cumsum(ahead)]
-    a = 0
-    while a < len(ahead):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
-        i = np.repeat(np.arange(a, b), ahead[a:b])
-        j = np.arange(len(i)) - np.repeat(total[a:b] - total[a], ahead[a:b]) + i + 1
-        if len(i):
-            yield i, j
-        a = b
+def partnered(
+    group: np.ndarray, coordinate: np.ndarray, sig: np.ndarray, prefix: np.ndarray, apart: np.ndarray, least: int
+) -> np.ndarray:
+    """Which rows have a partner in their group: another row with ``least`` equal coordinates.
 
-
-def _retained(group: np.ndarray, turn: np.ndarray, left: np.ndarray, keys: np.ndarray, low: np.ndarray, split: np.ndarray, least: int) -> np.ndarray:
-    """Which rows are in a pair of their group with enough equal coordinates that meets here first.
-
-    Rows are sorted by group. ``turn``: the place of the group's key among a class's keys. ``left``:
-    which block a row is from; where ``split``, only pairs across blocks count.
+    Rows are sorted by group. ``coordinate``: the one whose posting the group is. ``prefix``: for each
+    row, which coordinates it is posted under; a pair counts at the lowest of those that it shares.
+    ``apart``: two rows are held against each other only where its numbers differ (-1: always).
     """
     out = np.zeros(len(group), bool)
-    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)])
-    for i, j in _pairs(sizes, 100_000):
-        ok = ~split[i] | (left[i] != left[j])
-        i, j = i[ok], j[ok]
-        near = np.count_nonzero(low[i] == low[j], axis=1) >= least
-        i, j = i[near], j[near]
-        before = np.arange(KEYS)[None, :] < turn[i][:, None]
-        first = ~((keys[i] == keys[j]) & before).any(axis=1)
-        out[i[first]] = out[j[first]] = True
+    rows, open_ = np.arange(len(group)), np.ones(len(group), bool)
+    while len(rows):
+        first = np.flatnonzero(np.r_[True, group[rows[1:]] != group[rows[:-1]]])
+        size = np.diff(np.r_[first, len(rows)])
+        at = np.minimum.reduceat(np.where(open_[rows], np.arange(len(rows)), len(rows)), first)  # the first open row of each group
+        more = (at < len(rows)) & (size > 1)
+        rows, at = rows[np.repeat(more, size)], rows[at[more]]
+        size = size[more]
+        if not len(rows):
+            break
+        hit = np.zeros(len(rows), bool)
+        pivot = np.repeat(at, size)
+        for a in range(0, len(rows), 50_000):
+            i, j = pivot[a : a + 50_000], rows[a : a + 50_000]
+            same = sig[i] == sig[j]
+            near = (i != j) & (same.sum(axis=1) >= least) & ((apart[i] != apart[j]) | (apart[i] < 0))
+            shared = same & prefix[i] & prefix[j]
+            hit[a : a + 50_000] = near & (shared.argmax(axis=1) == coordinate[j])
+        out[rows[hit]] = True
+        out[pivot[hit]] = True
+        open_[rows[hit]] = False
+        open_[at] = False
+        # A pivot that no row goes with is no one's partner.
+        rows = rows[(rows != pivot) | out[rows]]
     return out
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first one of its component, linking sets with 100 * common >= percent * union."""
+def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first one of its component, linking sets with 100 * common >= percent * union.
+
+    ``known``: sets with equal numbers are in one component beforehand. Each set in turn is held
+    against those that are in another component by then.
+    """
     m = len(sets)
-    sizes = np.array(list(map(len, sets)))
+    size = np.array(list(map(len, sets)))
     every, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), sizes)
-    shared = np.bincount(place, minlength=len(every)) > 1
-    column_of = np.cumsum(shared) - 1
-    use = shared[place]
-    row, col = owner[use], column_of[place[use]]
-    common = np.zeros((m, m), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = 4096
-    for a in range(0, int(shared.sum()), width):
-        x, y = np.searchsorted(col, [a, a + width])
-        dense = np.zeros((m, min(width, int(shared.sum()) - a)), np.float32)
-        dense[row[x:y], col[x:y] - a] = 1
-        common += dense @ dense.T
-    tied = np.empty((m, m), bool)
-    for a in range(0, m, 256):  # in stripes, so that the wide numbers stay few
-        both = np.rint(common[a : a + 256]).astype(np.int64)
-        tied[a : a + 256] = 100 * both >= percent * (sizes[a : a + 256, None] + sizes[None, :] - both)
-    np.fill_diagonal(tied, True)
-    root = np.arange(m, dtype=np.int32)
-    while True:
-        new = np.concatenate([np.where(tied[a : a + 256], root[None, :], m).min(axis=1) for a in range(0, m, 256)]).astype(np.int32)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
+    at = np.r_[0, np.cumsum(size)]
+    root = np.arange(m) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
+    mine = np.zeros(len(every), bool)
+    for i in range(m):
+        other = np.flatnonzero((root != root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+        if known is None:
+            other = other[other > i]
+        if not len(other):
+            continue
+        own = place[at[i] : at[i + 1]]
+        mine[own] = True
+        common = np.add.reduceat(mine[gathered(place, at[other], size[other])], np.r_[0, np.cumsum(size[other])[:-1]], dtype=np.int64)
+        mine[own] = False
+        tied = np.unique(root[other[100 * common >= percent * (size[i] + size[other] - common)]])
+        if len(tied):
+            root[np.isin(root, np.r_[tied, root[i]])] = min(int(tied[0]), int(root[i]))
+    return root
 
 
 def near_duplicates(
@@ -205,7 +204,7 @@ def near_duplicates(
     classes = durable(
         signed.where("_n > 0")
         .groupBy("_hi", "_lo", "_n")
-        .agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.first("_low").alias("_low"))
+        .agg(F.min("_id").alias("_rep"), F.max("_bytes").alias("_bytes"), F.first("_sig").alias("_sig"))
         .withColumn("_node", F.monotonically_increasing_id())
     )
     labels = components(_links(docs, classes, id_col, text_col, shingle_words, percent, block))
@@ -237,55 +236,91 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(gone, marked[own].eqNullSafe(gone["_key"]), "left_anti").drop(own)
 
 
+def prefixes(classes: DataFrame, least: int) -> DataFrame:
+    """``_node``, ``key``, ``coordinate``, ``mask``: the postings to be merged, of two classes or more."""
+    key = F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value").cast("long")
+    posted = classes.select("_node", "_bytes", F.posexplode("_sig").alias("coordinate", "value")).select("_node", "_bytes", key.alias("key"))
+    repeated = grouped(posted, ["key"], F.count("*").alias("length")).where("length > 1")
+    own = posted.join(repeated, "key").groupBy("_node", "_bytes").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("own"))
+    rare = F.slice("own", F.lit(1), F.size("own") - least + 1)  # pairs that only this class has come before them
+    # A key's value may be below 0, so the coordinate is that of the rounded key.
+    coordinate = lambda k: F.shiftright(k + F.lit(1 << 31), 32).cast("int")
+    rows = own.where(F.size("own") >= least).withColumn("rare", rare)
+    mask = F.aggregate("rare", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate(x["key"]))))
+    rows = rows.withColumn("mask", mask).select("_node", "_bytes", "mask", F.explode("rare.key").alias("key"))
+    met = grouped(rows, ["key"], F.count("*").alias("members"), F.sum("_bytes").alias("all_bytes")).where("members > 1")
+    return rows.join(met, "key").withColumn("coordinate", coordinate(F.col("key")))
+
+
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int) -> DataFrame:
     """Links (u, v) between nodes of ``classes`` that span every component."""
-    spark = docs.sparkSession
     least = least_matches(percent / 100)
-    # Posting keys that at least two classes have.
-    postings = classes.select("_node", F.posexplode("_keys").alias("turn", "key"))
-    long_ = grouped(postings, ["key"], F.count("*").alias("count")).where("count > 1")
-    blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(block)), F.ceil(F.col("all_bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    met = durable(prefixes(classes, least).withColumn("blocks", F.least(blocks, F.col("members").cast("int"))).drop("all_bytes", "_bytes"))
     own = F.pmod(F.xxhash64("_node"), F.col("blocks")).cast("int")
-    met = (
-        postings.join(long_, "key")
-        .withColumn("blocks", blocks)
-        .withColumn("left", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("_node", "turn", "key", "left", F.least("left", "other").alias("a"), F.greatest("left", "other").alias("b"))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("_node", F.lit(1)), F.col("members")) < PIVOTS)
+    block_ = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
+    one = met.withColumn("a", block_).withColumn("b", F.col("a")).withColumn("apart", F.lit(-1).cast("long"))
+    args = (docs, classes, id_col, text_col, n, percent, least)
+    links = durable(_confirmed(one, *args))
+    split = met.where("blocks > 1")
+    if split.isEmpty():
+        return links
+    # Classes that are in no component yet are one of their own.
+    labels = components(links).withColumnRenamed("node", "_node")
+    split = split.join(labels, "_node", "left").withColumn("apart", F.coalesce("root", "_node")).drop("root")
+    whole = grouped(split, ["key", "apart"], F.count("*").alias("held"))
+    several = grouped(whole, ["key"], F.count("*").alias("components")).where("components > 1")
+    # A component with a block's worth of classes has blocks of its own; the others share blocks.
+    left = split.join(whole, ["key", "apart"]).join(several.select("key"), "key", "left_semi")
+    full = F.col("held") * F.col("blocks") >= F.col("members")
+    unit = F.struct(
+        F.when(full, F.col("apart")).alias("of"),
+        F.pmod(F.xxhash64("_node"), F.when(full, F.ceil(F.col("held") * F.col("blocks") / F.col("members"))).otherwise(F.col("blocks"))).alias("at"),
     )
-    met = durable(met)
+    left = durable(left.withColumn("unit", unit).drop("held"))
+    units = left.select("key", "unit").distinct()
+    x, y = units.select("key", F.col("unit").alias("x")), units.select("key", F.col("unit").alias("y"))
+    meet = x.join(y, "key").where("x < y and not (x.of is not null and x.of <=> y.of) or x = y and x.of is null")
+    number = meet.withColumn("b", F.xxhash64("x", "y"))
+    sides = number.select("key", "b", F.col("x").alias("unit")).unionByName(number.select("key", "b", F.col("y").alias("unit"))).distinct()
+    across = left.join(sides, ["key", "unit"]).drop("unit").withColumn("a", F.lit(-1))
+    return links.unionByName(_confirmed(across, *args))
+
+
+def _confirmed(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, least: int) -> DataFrame:
+    """Links (u, v) that span the components within each group (``key``, ``a``, ``b``) of ``met``."""
+    met = met.select("key", F.col("a").cast("int"), F.col("b").cast("long"), "_node", "coordinate", "mask", "apart")
     bins = max(1, math.ceil(met.count() / BIN_ROWS))
-    rows = met.join(classes.select("_node", "_keys", "_low"), "_node").withColumn(
-        "bin", F.pmod(F.xxhash64("key", "a", "b"), F.lit(bins)).cast("int")
-    )
+    rows = met.join(classes.select("_node", "_sig"), "_node").withColumn("bin", F.pmod(F.xxhash64("key", "a", "b"), F.lit(bins)).cast("int"))
 
-    def meet(group: pa.Table) -> pa.Table:
-        get = lambda c: column(group, c).to_numpy(zero_copy_only=False)
+    def meet(table: pa.Table) -> pa.Table:
+        get = lambda c: column(table, c).to_numpy(zero_copy_only=False)
         order = np.lexsort((get("b"), get("a"), get("key")))
         key, a, b = get("key")[order], get("a")[order], get("b")[order]
-        keys = column(group, "_keys").flatten().to_numpy().reshape(-1, KEYS)[order]
-        low = np.frombuffer(b"".join(column(group, "_low").to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
+        sig = column(table, "_sig").flatten().to_numpy().reshape(-1, COORDINATES)[order]
+        prefix = (get("mask")[order].view(np.uint64)[:, None] >> np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(1)
         of = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        go = _retained(of, get("turn")[order], get("left")[order], keys, low, a != b, least)
-        return pa.table([pa.array(key[go]), pa.array(a[go]), pa.array(b[go]), pa.array(get("_node")[order][go])], names=["key", "a", "b", "_node"])
+        go = partnered(of, get("coordinate")[order], sig, prefix.astype(bool), get("apart")[order], least)
+        names = ["key", "a", "b", "_node", "apart"]
+        return pa.table([pa.array(x[go]) for x in (key, a, b, get("_node")[order], get("apart")[order])], names=names)
 
-    groups = durable(rows.groupBy("bin").applyInArrow(meet, "key long, a int, b int, _node long"))
-    bins = max(1, math.ceil(groups.count() / TEXT_ROWS))
-    if not groups.take(1):
-        return spark.createDataFrame([], "u long, v long")
+    groups = durable(rows.groupBy("bin").applyInArrow(meet, "key long, a int, b long, _node long, apart long"))
     needed = groups.select("_node").distinct().join(classes.select("_node", "_rep", "_hi"), "_node")
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     text = text.join(needed, text["_id"].eqNullSafe(needed["_rep"])).select("_node", "_hi", "_text")
+    size = groups.join(classes.select("_node", "_bytes"), "_node").agg(F.sum("_bytes")).first()[0] or 0
+    bins = max(1, math.ceil(size / BIN_BYTES))
     to_confirm = groups.join(text, "_node").withColumn("bin", F.pmod(F.xxhash64("key", "a", "b"), F.lit(bins)).cast("int"))
 
-    def confirm(group: pa.Table) -> pa.Table:
-        get = lambda c: column(group, c).to_numpy(zero_copy_only=False)
-        gram, offsets = shingle_sets(column(group, "_text"), n)
+    def confirm(table: pa.Table) -> pa.Table:
+        get = lambda c: column(table, c).to_numpy(zero_copy_only=False)
+        gram, offsets = shingle_sets(column(table, "_text"), n)
         size = np.diff(offsets)
         hi = np.zeros(len(size), np.int64)
         if len(gram):
             hi[size > 0] = np.add.reduceat(words.mix(gram ^ _XOR[0]), offsets[:-1][size > 0]).view(np.int64)
-        node, key, a, b = get("_node"), get("key"), get("a"), get("b")
+        node, key, a, b, apart = get("_node"), get("key"), get("a"), get("b"), get("apart")
         # An id may have rows with other texts; only those of the class count, once.
         order = np.lexsort((node, b, a, key))
         order = order[hi[order] == get("_hi")[order]]
@@ -298,7 +333,8 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: i
             some = order[x:y]
             if len(some) < 2:
                 continue
-            root = linked([gram[offsets[i] : offsets[i + 1]] for i in some.tolist()], percent)
+            known = apart[some]
+            root = linked([gram[offsets[i] : offsets[i + 1]] for i in some.tolist()], percent, known if known[0] >= 0 else None)
             other = np.flatnonzero(root != np.arange(len(root)))
             u.append(node[some[other]])
             v.append(node[some[root[other]]])

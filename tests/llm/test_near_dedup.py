@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import near_dedup as nd
 
 
@@ -74,3 +76,56 @@ def test_query_over_the_whole_table(spark, sf):
     rows = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in nd.op9_minhash_near_dedup(spark, sf).collect()), key=repr)
     assert got == brute(rows, 3, 85)
+
+
+def _drifting(seed, n, words, step):
+    """Each text is the one before with some words changed: linked as a chain, far apart at its ends."""
+    rng = random.Random(seed)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        for _ in range(step):
+            w[rng.randrange(words)] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_chains_and_hot_passages_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PIVOTS", 1)
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = _drifting(1, 60, 120, 1) + _drifting(2, 40, 60, 1) + [f"{passage} {t}" for t in _drifting(3, 40, 40, 12)] + _drifting(4, 20, 30, 9)
+    rows = list(enumerate(texts))
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4, 1024):
+        got = sorted((tuple(r) for r in nd.near_duplicates(df, shingle_words=3, percent=85, block=block).collect()), key=repr)
+        assert got == brute(rows, 3, 85)
+
+
+def test_long_texts_are_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 200_000)
+    base = " ".join(f"v{i}" for i in range(40_000))
+    rows = [(i, base + f" end{i}" * (i % 3)) for i in range(8)] + [(50, "short text of few words"), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in nd.near_duplicates(df, shingle_words=3, percent=85).collect()), key=repr)
+    assert got == brute(rows, 3, 85)
+
+
+def test_partners_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        m = int(rng.integers(2, 30))
+        group = np.sort(rng.integers(0, 4, m))
+        sig = rng.integers(0, 2, (m, nd.COORDINATES)).astype(np.int32)
+        coordinate = group % 5
+        sig[:, :5] = np.where(np.arange(5)[None, :] == coordinate[:, None], 7, sig[:, :5])
+        prefix = rng.random((m, nd.COORDINATES)) < 0.2
+        prefix[np.arange(m), coordinate] = True
+        apart = rng.integers(0, 3, m) if rng.random() < 0.5 else np.full(m, -1)
+        want = np.zeros(m, bool)
+        for i in range(m):
+            for j in range(m):
+                same = sig[i] == sig[j]
+                first = (same & prefix[i] & prefix[j]).argmax() == coordinate[i]
+                want[i] |= i != j and group[i] == group[j] and same.sum() >= 33 and first and (apart[i] < 0 or apart[i] != apart[j])
+        assert (nd.partnered(group, coordinate, sig, prefix, apart, 33) == want).all()
