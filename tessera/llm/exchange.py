@@ -54,7 +54,26 @@ def slices(sorted_keys: np.ndarray, parts: int) -> tuple[list[int], list[int], l
 def request(bucket: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple]:
     """Rows of ``REQUEST`` for ascending distinct keys and how often the bucket has each."""
     for p, a, b in zip(*slices(keys, parts), strict=True):
-        yield p, bucket, kind, keys[a:b].tobytes(), numbers(counts[a:b])
+        yield p, bucket, kind, pack(keys[a:b]), numbers(counts[a:b])
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending distinct keys: the first, then the steps between them in as many bytes as the widest needs."""
+    if not len(keys):
+        return b""
+    step = np.diff(keys)
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    return bytes([width]) + keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    step = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, raw[0])
+    out = np.zeros((len(step) + 1, 8), np.uint8)
+    out[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    out[1:, : raw[0]] = step
+    return np.cumsum(out.view(np.uint64).ravel())
 
 
 def rows_table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -70,6 +89,16 @@ def requests_table(rows: list[tuple]) -> pa.Table:
     return rows_table(rows, _REQUEST_FIELDS)
 
 
+def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of requests to one part, and their totals."""
+    keys = [unpack(x) for x in column(table, "keys").to_pylist()]
+    counts = [from_numbers(x, len(k)) for x, k in zip(column(table, "counts").to_pylist(), keys, strict=True)]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.zeros(len(distinct), np.int64)
+    np.add.at(totals, place, np.concatenate(counts))
+    return distinct, totals
+
+
 def answer(requests: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
     """For each request its keys' totals over all buckets, in the order of the keys.
 
@@ -78,7 +107,7 @@ def answer(requests: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFr
     """
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in column(table, "keys").to_pylist()]
+        keys = [unpack(x) for x in column(table, "keys").to_pylist()]
         counts = [from_numbers(x, len(k)) for x, k in zip(column(table, "counts").to_pylist(), keys, strict=True)]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)[place]

@@ -28,3 +28,10 @@ def test_a_missing_reply_is_an_error():
     assert exchange.totals_of(empty, 0, bool, exchange.from_bits, np.zeros(0, np.uint64), 4).tolist() == []
     with pytest.raises(RuntimeError):
         exchange.totals_of(empty, 0, bool, exchange.from_bits, np.array([5], np.uint64), 4)
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(5)
+    for keys in ([], [0], [2**64 - 1], [0, 2**64 - 1], [7, 8, 300], rng.integers(0, 2**64, 999, dtype=np.uint64)):
+        k = np.unique(np.array(keys, np.uint64))
+        assert exchange.unpack(exchange.pack(k)).tolist() == k.tolist()
