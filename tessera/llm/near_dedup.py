@@ -46,6 +46,8 @@ from tessera.sources.tables import table
 COORDINATES = 64
 #: Classes of one posting, and bytes of their texts, that are compared in one place, and the pivots among them.
 BLOCK, BLOCK_BYTES, PIVOTS = 1024, 8 << 20, 32
+#: Stands for no posting; keys lie between -2**31 and COORDINATES * 2**32.
+NO_KEY = -(1 << 62)
 #: Rows of postings, and bytes of texts, that a task handles as one group, about.
 BIN_ROWS, BIN_BYTES = 20_000, 16 << 20
 
@@ -262,13 +264,15 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: i
     block_ = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
     one = met.withColumn("a", block_).withColumn("b", F.col("a")).withColumn("apart", F.lit(-1).cast("long"))
     args = (docs, classes, id_col, text_col, n, percent, least)
-    links = durable(_confirmed(one, *args))
+    found = _confirmed(one.withColumn("pivot", F.when(F.col("blocks") > 1, pivot)), *args)
     split = met.where("blocks > 1")
     if split.isEmpty():
-        return links
-    # Classes that are in no component yet are one of their own.
-    labels = components(links).withColumnRenamed("node", "_node")
-    split = split.join(labels, "_node", "left").withColumn("apart", F.coalesce("root", "_node")).drop("root")
+        return found.select("u", "v")
+    found = durable(found)
+    links = found.where("key is null").select("u", "v")
+    # A component of a block goes by its smallest pivot, or else its root; a class without partner is one of its own.
+    labels = grouped(found.where("key is not null").withColumnRenamed("u", "_node"), ["key", "_node"], F.min("v").alias("label"))
+    split = split.join(labels, ["key", "_node"], "left").withColumn("apart", F.coalesce("label", "_node")).drop("label")
     whole = grouped(split, ["key", "apart"], F.count("*").alias("held"))
     several = grouped(whole, ["key"], F.count("*").alias("components")).where("components > 1")
     # A component with a block's worth of classes has blocks of its own; the others share blocks.
@@ -284,13 +288,17 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: i
     meet = x.join(y, "key").where("x < y and not (x.of is not null and x.of <=> y.of) or x = y and x.of is null")
     number = meet.withColumn("b", F.xxhash64("x", "y"))
     sides = number.select("key", "b", F.col("x").alias("unit")).unionByName(number.select("key", "b", F.col("y").alias("unit"))).distinct()
-    across = left.join(sides, ["key", "unit"]).drop("unit").withColumn("a", F.lit(-1))
-    return links.unionByName(_confirmed(across, *args))
+    across = left.join(sides, ["key", "unit"]).drop("unit").withColumn("a", F.lit(-1)).withColumn("pivot", F.lit(None).cast("boolean"))
+    return links.unionByName(_confirmed(across, *args).select("u", "v"))
 
 
 def _confirmed(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, least: int) -> DataFrame:
-    """Links (u, v) that span the components within each group (``key``, ``a``, ``b``) of ``met``."""
-    met = met.select("key", F.col("a").cast("int"), F.col("b").cast("long"), "_node", "coordinate", "mask", "apart")
+    """Links (``u``, ``v``) that span the components within each group (``key``, ``a``, ``b``) of ``met``; ``key`` is null.
+
+    Where ``pivot`` isn't null, rows with a ``key`` besides: ``u`` a class, ``v`` the smallest pivot of
+    its component in the group, or the component's root if it has none.
+    """
+    met = met.select("key", F.col("a").cast("int"), F.col("b").cast("long"), "_node", "coordinate", "mask", "apart", "pivot")
     bins = max(1, math.ceil(met.count() / BIN_ROWS))
     rows = met.join(classes.select("_node", "_sig"), "_node").withColumn("bin", F.pmod(F.xxhash64("key", "a", "b"), F.lit(bins)).cast("int"))
 
@@ -303,9 +311,10 @@ def _confirmed(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         of = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         go = partnered(of, get("coordinate")[order], sig, prefix.astype(bool), get("apart")[order], least)
         names = ["key", "a", "b", "_node", "apart"]
-        return pa.table([pa.array(x[go]) for x in (key, a, b, get("_node")[order], get("apart")[order])], names=names)
+        out = pa.table([pa.array(x[go]) for x in (key, a, b, get("_node")[order], get("apart")[order])], names=names)
+        return out.append_column("pivot", column(table, "pivot").take(pa.array(order[go])))
 
-    groups = durable(rows.groupBy("bin").applyInArrow(meet, "key long, a int, b long, _node long, apart long"))
+    groups = durable(rows.groupBy("bin").applyInArrow(meet, "key long, a int, b long, _node long, apart long, pivot boolean"))
     needed = groups.select("_node").distinct().join(classes.select("_node", "_rep", "_hi"), "_node")
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     text = text.join(needed, text["_id"].eqNullSafe(needed["_rep"])).select("_node", "_hi", "_text")
@@ -321,6 +330,7 @@ def _confirmed(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         if len(gram):
             hi[size > 0] = np.add.reduceat(words.mix(gram ^ _XOR[0]), offsets[:-1][size > 0]).view(np.int64)
         node, key, a, b, apart = get("_node"), get("key"), get("a"), get("b"), get("apart")
+        pivot, split = pc.fill_null(column(table, "pivot"), False).to_numpy(zero_copy_only=False), column(table, "pivot").is_valid().to_numpy(zero_copy_only=False)
         # An id may have rows with other texts; only those of the class count, once.
         order = np.lexsort((node, b, a, key))
         order = order[hi[order] == get("_hi")[order]]
@@ -328,7 +338,7 @@ def _confirmed(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         order = order[np.r_[True, (of[:, 1:] != of[:, :-1]).any(axis=0)]] if len(order) else order
         of = np.stack([key[order], a[order], b[order]])
         starts = np.flatnonzero(np.r_[True, (of[:, 1:] != of[:, :-1]).any(axis=0)]) if len(order) else order
-        u, v = [], []
+        u, v, of_key = [], [], []
         for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             some = order[x:y]
             if len(some) < 2:
@@ -338,10 +348,20 @@ def _confirmed(met: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
             other = np.flatnonzero(root != np.arange(len(root)))
             u.append(node[some[other]])
             v.append(node[some[root[other]]])
+            of_key.append(np.full(len(other), NO_KEY))
+            if split[some[0]]:
+                low = np.where(pivot[some], node[some], np.iinfo(np.int64).max)
+                least_of = np.full(len(some), np.iinfo(np.int64).max)
+                np.minimum.at(least_of, root, low)
+                label = least_of[root]
+                u.append(node[some])
+                v.append(np.where(label < np.iinfo(np.int64).max, label, node[some[root]]))
+                of_key.append(np.full(len(some), int(key[some[0]])))
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-        return pa.table([pa.array(cat(u), pa.int64()), pa.array(cat(v), pa.int64())], names=["u", "v"])
+        of_key = cat(of_key)
+        return pa.table([pa.array(cat(u), pa.int64()), pa.array(cat(v), pa.int64()), pa.array(of_key, pa.int64(), mask=of_key == NO_KEY)], names=["u", "v", "key"])
 
-    return to_confirm.groupBy("bin").applyInArrow(confirm, "u long, v long")
+    return to_confirm.groupBy("bin").applyInArrow(confirm, "u long, v long, key long")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
