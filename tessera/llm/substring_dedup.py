@@ -1,10 +1,12 @@
 """Removing repeated passages by relative Lempel-Ziv parsing.
 
-All windows of W consecutive words are indexed in reference blocks, which are the hash ranges of
-their numbers; every document is factored against all blocks. A factor starts at a window that a
-block has from another place and grows while the next window is found as well. Where it ends, the
-windows over the boundary have been looked up in their own right, so no repeated window that lies
-across two factors is missed. Factors have W words at least and their words are removed.
+Documents are dealt into reference blocks. Every block indexes the places of its windows of W
+consecutive words, in hash partitions, and every document is factored against all blocks. A factor
+starts at a window that stands at another place as well, takes the first such place of all blocks as
+its source and is extended greedily, word by word, as long as the next window's source is the next
+place. At its end the parse goes on with the next window, which overlaps the factor: so windows over
+a factor's boundary are looked up in their own right, and no repeated window that lies across two
+factors is missed. Factors have W words at least and their words are removed.
 
 To keep the index small, a window is only looked up if its anchor, the smallest number among the
 shorter runs of words within it, occurs at two places or more: equal windows have equal anchors at
@@ -27,6 +29,8 @@ WINDOW = 35
 #: Words in the runs that anchors are taken from.
 ANCHOR_WORDS = 12
 _ANCHORS, _WINDOWS = 0, 1
+#: A window that stands nowhere else.
+NOWHERE = np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -77,16 +81,77 @@ def _anchor_bits(parsed: Parsed, replies: pa.Table, parts: int) -> np.ndarray:
     return exchange.totals_of(replies, _ANCHORS, bool, exchange.from_bits, parsed.anchor_keys, parts)
 
 
-def factors(found: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors from the windows that were found elsewhere: text, first word, words."""
-    hit = at[found]
+def _places(blocks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places as numbers that order by block, then word."""
+    return (blocks.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
+
+
+def _asked(bucket: int, window: np.ndarray, at: np.ndarray, parts: int) -> list[tuple]:
+    """Requests for the distinct windows of a block with the first place of each; ``at`` ascends."""
+    keys, first = np.unique(window, return_index=True)
+    return [(p, bucket, _WINDOWS, exchange.pack(keys[a:b]), at[first[a:b]].astype(np.uint32).tobytes()) for p, a, b in zip(*exchange.slices(keys, parts), strict=True)]
+
+
+def _first_elsewhere(table: pa.Table) -> pa.Table:
+    """For each request to a part its windows' first places in other blocks, in the order of the windows."""
+    buckets = exchange.column(table, "bucket").to_numpy()
+    keys = [exchange.unpack(x) for x in exchange.column(table, "keys").to_pylist()]
+    size = np.array(list(map(len, keys)))
+    key = np.concatenate(keys)
+    place = _places(np.repeat(buckets, size), np.frombuffer(b"".join(exchange.column(table, "counts").to_pylist()), np.uint32))
+    order = np.lexsort((place, key))
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    held = np.diff(np.r_[first, len(key)])  # a block asks about a window once
+    least, next_ = place[order[first]], np.full(len(first), NOWHERE)
+    next_[held > 1] = place[order[first[held > 1] + 1]]
+    other = np.empty(len(key), np.uint64)
+    other[order] = np.where(np.arange(len(key)) == np.repeat(first, held), np.repeat(next_, held), np.repeat(least, held))
+    ends = np.cumsum(size)
+    replies = [_sources(other[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    return pa.table([exchange.column(table, c) for c in ("bucket", "part", "kind")] + [pa.array(replies, pa.binary())], names=["bucket", "part", "kind", "totals"])
+
+
+def _sources(other: np.ndarray) -> bytes:
+    some = other != NOWHERE
+    return np.packbits(some).tobytes() + other[some].tobytes()
+
+
+def _from_sources(raw: bytes, n: int) -> np.ndarray:
+    some = exchange.from_bits(raw[: -(-n // 8)], n)
+    out = np.full(n, NOWHERE)
+    out[some] = np.frombuffer(raw, np.uint64, int(some.sum()), -(-n // 8))
+    return out
+
+
+def sources(at: np.ndarray, block: int, elsewhere: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The first place of each window other than its own. ``elsewhere``: the first in other blocks, by
+    distinct window; ``of``: which of them each is; ``at`` ascends."""
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])[: len(elsewhere)]
+    held = np.diff(np.r_[first, len(of)])
+    own = _places(np.full(len(at), block), at)
+    least, next_ = own[order[first]], np.full(len(first), NOWHERE)
+    next_[held > 1] = own[order[first[held > 1] + 1]]
+    here = np.where(own == least[of], next_[of], least[of])
+    return np.minimum(here, elsewhere[of])
+
+
+def factors(source: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors from the windows' sources: text, first word, words, source."""
+    found = source != NOWHERE
+    hit, source = at[found], source[found]
     if not len(hit):
         z = np.zeros(0, np.int64)
-        return z, z, z
-    new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]
+        return z, z, z, source
+    new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]) | (source[1:] != source[:-1] + np.uint64(1))]
     start = np.flatnonzero(new)
     last = np.r_[start[1:], len(hit)] - 1
-    return owner[hit[start]], hit[start], hit[last] - hit[start] + window
+    return owner[hit[start]], hit[start], hit[last] - hit[start] + window, source[start]
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """A block's rows in an order that doesn't depend on how they were read."""
+    return table.take(pa.array(np.argsort(exchange.column(table, "_order").to_numpy(), kind="stable")))
 
 
 def _keep(w: words.Words, covered: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -120,7 +185,8 @@ def without_repeats(
     bucket_bytes: int = exchange.BUCKET_BYTES,
 ) -> DataFrame:
     """``id_col``, ``n_words``, ``n_removed``, ``text`` (the words that stay, joined by one space) and
-    ``factors`` (array of first word and number of words): one row per row of ``docs``.
+    ``factors`` (array of first word, number of words, and the reference block and word there that
+    the source begins at): one row per row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in the same
     document or another. Equal rows repeat each other and so lose such windows. A null or short text
@@ -130,6 +196,7 @@ def without_repeats(
     if not 1 <= anchor_words <= window:
         raise ValueError("anchors need 1 to window words")
     rows, parts = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
+    rows = rows.withColumn("_order", F.xxhash64("_id", "_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def ask_anchors(table: pa.Table) -> pa.Table:
@@ -140,25 +207,34 @@ def without_repeats(
     def ask_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return exchange.requests_table([])
-        p = parse(exchange.column(table, "_text"), window, anchor_words)
-        bucket = table.column("bucket")[0].as_py()
-        keys, counts = np.unique(p.window[_candidates(p, _anchor_bits(p, replies, parts))], return_counts=True)
-        return exchange.requests_table(list(exchange.request(bucket, _WINDOWS, keys, counts, parts)))
+        p = parse(exchange.column(in_order(table), "_text"), window, anchor_words)
+        maybe = _candidates(p, _anchor_bits(p, replies, parts))
+        return exchange.requests_table(_asked(table.column("bucket")[0].as_py(), p.window[maybe], p.at[maybe], parts))
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = in_order(table)
         p = parse(exchange.column(table, "_text"), window, anchor_words)
-        found = np.zeros(len(p.at), bool)
+        source = np.full(len(p.at), NOWHERE)
         if replies.num_rows:
             maybe = np.flatnonzero(_candidates(p, _anchor_bits(p, replies, parts)))
-            keys, place = np.unique(p.window[maybe], return_inverse=True)
-            found[maybe] = exchange.totals_of(replies, _WINDOWS, bool, exchange.from_bits, keys, parts)[place]
-        text, first, n = factors(found, p.at, p.words.owner(), window)
+            keys, of = np.unique(p.window[maybe], return_inverse=True)
+            elsewhere = exchange.totals_of(replies, _WINDOWS, np.uint64, _from_sources, keys, parts)
+            source[maybe] = sources(p.at[maybe], table.column("bucket")[0].as_py(), elsewhere, of)
+        text, first, n, source = factors(source, p.at, p.words.owner(), window)
         edge = np.zeros(len(p.words.starts) + 1, np.int64)
         np.add.at(edge, first, 1)
         np.add.at(edge, first + n, -1)
         texts, removed = _keep(p.words, np.cumsum(edge[:-1]) > 0)
         of = np.r_[0, np.cumsum(np.bincount(text, minlength=len(texts)))].astype(np.int32)
-        spans = pa.StructArray.from_arrays([pa.array(p.words.place()[first], pa.int32()), pa.array(n, pa.int32())], ["first", "n"])
+        spans = pa.StructArray.from_arrays(
+            [
+                pa.array(p.words.place()[first], pa.int32()),
+                pa.array(n, pa.int32()),
+                pa.array((source >> np.uint64(32)).astype(np.int32)),
+                pa.array((source & np.uint64(2**32 - 1)).astype(np.int64)),
+            ],
+            ["first", "n", "source_block", "source_word"],
+        )
         return pa.table(
             [
                 exchange.column(table, "_id"),
@@ -173,8 +249,9 @@ def without_repeats(
     by_bucket = rows.groupBy("bucket")
     anchors = exchange.answer(by_bucket.applyInArrow(ask_anchors, exchange.REQUEST), exchange.bits)
     asked = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(ask_windows, exchange.REQUEST)
-    both = anchors.unionByName(exchange.answer(asked, exchange.bits))
-    schema = f"_id {kind}, n_words long, n_removed long, text string, factors array<struct<first:int,n:int>>"
+    both = anchors.unionByName(asked.groupBy("part").applyInArrow(_first_elsewhere, exchange.REPLY))
+    span = "struct<first:int,n:int,source_block:int,source_word:long>"
+    schema = f"_id {kind}, n_words long, n_removed long, text string, factors array<{span}>"
     return by_bucket.cogroup(both.groupBy("bucket")).applyInArrow(remove, schema).withColumnRenamed("_id", id_col)
 
 

@@ -3,6 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+
+from tessera.llm import exchange
 from tessera.llm import substring_dedup as sd
 
 
@@ -50,3 +55,35 @@ def test_query_over_the_whole_table(spark, sf):
     want = sorted((d.doc_id, n, gone, hashlib.sha256(t.encode()).hexdigest()) for d, (n, gone, t) in zip(docs, brute([d.text for d in docs], 35), strict=True))
     assert sorted(tuple(r) for r in sd.op8_substring_dedup(spark, sf).collect()) == want
     assert sum(w[2] for w in want) > 0
+
+
+def test_factors_are_phrases_of_their_sources():
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcd")
+    passages = [[word() for _ in range(12)] for _ in range(4)]
+    blocks = [[" ".join(w for _ in range(6) for w in (rng.choice(passages) if rng.random() < 0.5 else [word() for _ in range(5)])) for _ in range(5)] for _ in range(3)]
+    parsed = [sd.parse(pa.array(b), 6, 2) for b in blocks]
+    requests = exchange.requests_table([r for k, p in enumerate(parsed) for r in sd._asked(k, p.window, p.at, 1)])
+    replies = sd._first_elsewhere(requests)
+    flat = [[w for t in b for w in t.split()] for b in blocks]
+    for k, p in enumerate(parsed):
+        keys, of = np.unique(p.window, return_inverse=True)
+        elsewhere = exchange.totals_of(replies.filter(pa.compute.equal(replies["bucket"], k)), sd._WINDOWS, np.uint64, sd._from_sources, keys, 1)
+        source = sd.sources(p.at, k, elsewhere, of)
+        # Brute force: the first place of all others, block by block.
+        every = [(b, int(i), int(w)) for b, q in enumerate(parsed) for i, w in zip(q.at, q.window, strict=True)]
+        for i, w, got in zip(p.at.tolist(), p.window.tolist(), source.tolist(), strict=True):
+            want = min(((b, j) for b, j, x in every if x == w and (b, j) != (k, i)), default=None)
+            assert got == (int(sd.NOWHERE) if want is None else want[0] << 32 | want[1])
+        _, first, n, source = sd.factors(source, p.at, p.words.owner(), 6)
+        for a, m, q in zip(first.tolist(), n.tolist(), source.tolist(), strict=True):
+            there = flat[q >> 32][q & 0xFFFFFFFF :][:m]
+            assert m >= 6 and flat[k][a : a + m] == there and (q >> 32, q & 0xFFFFFFFF) != (k, a)
+
+
+def test_long_and_heavily_repeated_rows(spark):
+    long_ = " ".join(f"w{i % 700}" for i in range(60_000))
+    rows = [(1, long_), (2, " ".join(f"u{i}" for i in range(200)))] + [(3, "p q r s t u v w")] * 400 + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sd.without_repeats(df, window=8, anchor_words=3, bucket_bytes=5000).collect()
+    assert Counter((r.n_words, r.n_removed, r.text) for r in got) == Counter(brute([t for _, t in rows], 8))
