@@ -20,6 +20,8 @@ from tessera.operators import knn
 
 #: Centroids that are sent to the tasks, at most: 65,536 of 1,024 components are 0.5 GB.
 MOST_CELLS = 65_536
+#: Centroids that a block of vectors is held against at a time.
+CELL_TILE = 1024
 
 
 def collect_centroids(centroids: DataFrame, cid: str = "cid", vec: str = "c") -> tuple[list, np.ndarray]:
@@ -37,6 +39,27 @@ def means(vectors: DataFrame, by: str, vec: str = "vec") -> DataFrame:
     return parts.groupBy("cid").agg(F.transform(ordered, lambda s: s["x"]).alias("c"))
 
 
+def nearest_cell(x: np.ndarray, centroids: np.ndarray, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` its nearest centroid, the first of several, and the squared distance.
+
+    Matrix products, a tile of centroids at a time, leave few centroids that may be the nearest;
+    those are measured exactly.
+    """
+    norms, own = (centroids**2).sum(axis=1), (x**2).sum(axis=1)
+    best, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for a in range(0, len(centroids), CELL_TILE):
+        c = centroids[a : a + CELL_TILE]
+        rough = own[:, None] - 2 * (x @ c.T) + norms[None, a : a + CELL_TILE]
+        slack = 1e-9 * (own[:, None] + norms[None, a : a + CELL_TILE]) + 10.0**-digits
+        row, col = np.nonzero(rough <= np.minimum(rough.min(axis=1), least)[:, None] + 2 * slack)
+        d2 = ((x[row] - c[col]) ** 2).sum(axis=1)
+        order = np.lexsort((col, np.round(d2, digits), row))
+        first = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
+        nearer = first[np.round(d2[first], digits) < np.round(least[row[first]], digits)]
+        best[row[nearer]], least[row[nearer]] = col[nearer] + a, d2[nearer]
+    return best, least
+
+
 def assigned(vectors: DataFrame, cids: Sequence, centroids: np.ndarray, id_col: str = "id", vec: str = "vec", digits: int = 9) -> DataFrame:
     """``id_col``, ``vec``, ``cid`` and ``d2``: the nearest centroid by squared distance, ties by its id.
 
@@ -54,10 +77,9 @@ def assigned(vectors: DataFrame, cids: Sequence, centroids: np.ndarray, id_col:
                 if not block.num_rows:
                     continue
                 x = block.column("_vec").flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
-                d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
-                best = np.round(d2, digits).argmin(axis=1)
+                best, least = nearest_cell(x, centroids, digits)
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("_id"), block.column("_vec"), pa.array([cids[i] for i in best.tolist()]), pa.array(d2[np.arange(len(best)), best])],
+                    [block.column("_id"), block.column("_vec"), pa.array([cids[i] for i in best.tolist()]), pa.array(least)],
                     ["_id", "_vec", "cid", "d2"],
                 )
 
@@ -77,6 +99,22 @@ def search(cells: DataFrame, query: Sequence[float], k: int, visit: Sequence, me
     return knn.nearest(cells.where(F.col("cid").isin(list(visit))), query, k, metric, id_col, vec)
 
 
+def grouped_cells(centroids: np.ndarray, groups: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids of the upper level, the group of each cell): Lloyd rounds over the centroids, begun with the first ones."""
+    tops = centroids[:groups].copy()
+    for _ in range(rounds):
+        of, _ = nearest_cell(centroids, tops)
+        tops = np.array([centroids[of == g].mean(axis=0) if (of == g).any() else tops[g] for g in range(len(tops))])
+    return tops, nearest_cell(centroids, tops)[0]
+
+
+def probes_by_level(query: Sequence[float], cids: Sequence, centroids: np.ndarray, tops: np.ndarray, of: np.ndarray, ntop: int, nprobe: int) -> list:
+    """The ``nprobe`` nearest cells among those of the ``ntop`` nearest groups."""
+    near = set(probes(query, range(len(tops)), tops, ntop))
+    inside = [i for i in range(len(cids)) if of[i] in near]
+    return probes(query, [cids[i] for i in inside], centroids[inside], nprobe) if inside else []
+
+
 def metrics(cells: DataFrame, all_cids: DataFrame | None = None) -> DataFrame:
     """``cid``, ``n``, ``variance`` (mean squared distance), ``radius`` (largest distance), ``density``.
 
@@ -142,7 +180,6 @@ def batch(
         near = np.round(knn.distances(q, centroids, "l2"), 9).argsort(axis=1, kind="stable")[:, :nprobe]
         visits = np.zeros((len(q), len(centroids)), bool)
         visits[np.arange(len(q))[:, None], near] = True
-        d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
-        return visits[:, np.round(d2, 9).argmin(axis=1)]
+        return visits[:, nearest_cell(x, centroids)[0]]
 
     return knn.batch(vectors, queries, k, "cosine", id_col, vec, among=among)

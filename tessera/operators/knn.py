@@ -84,6 +84,16 @@ def two_stage(
     return out.orderBy("distance", id_col).limit(k)
 
 
+def by_block(search: Callable[[Sequence, list[set] | None], DataFrame], queries: Sequence, visit: Sequence[Sequence] | None) -> DataFrame:
+    """What ``search`` finds for queries and the cells they go to (None: all), ``QUERY_BLOCK`` at a time."""
+    out = None
+    for at in range(0, max(1, len(queries)), QUERY_BLOCK):
+        cells = None if visit is None else [set(v) for v in visit[at : at + QUERY_BLOCK]]
+        one = search(queries[at : at + QUERY_BLOCK], cells)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def batch(
     vectors: DataFrame,
     queries: Sequence[tuple[object, Sequence[float]]],

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -48,6 +48,22 @@ def from_vectors(rows: Sequence[Sequence[float]], parts: int) -> np.ndarray:
     return x.reshape(len(x), parts, -1).transpose(1, 0, 2)
 
 
+def book_table(spark: SparkSession, book: np.ndarray) -> DataFrame:
+    """A codebook as ``part``, ``code`` and ``word``, to be written."""
+    _check(book)
+    rows = [(p, c, word.tolist()) for p, part in enumerate(book) for c, word in enumerate(part)]
+    return spark.createDataFrame(rows, "part int, code int, word array<double>")
+
+
+def book_of(table: DataFrame) -> np.ndarray:
+    """The codebook that ``book_table`` was made from; its size is bounded by codes and dimension."""
+    rows = table.orderBy("part", "code").collect()
+    parts = max(r["part"] for r in rows) + 1
+    if len(rows) % parts or len(rows) // parts > MOST_CODES:
+        raise ValueError(f"every part needs as many codes, {MOST_CODES} at most")
+    return np.array([r["word"] for r in rows], float).reshape(parts, len(rows) // parts, -1)
+
+
 def encoded(vectors: DataFrame, book: np.ndarray, id_col: str = "id", vec: str = "vec", digits: int = 9) -> DataFrame:
     """``id_col`` and ``codes`` (array of int): the nearest codeword of each part, ties to the smaller."""
     _check(book)
