@@ -121,16 +121,17 @@ class Query:
     def run(self, rows: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
         """``rows`` that the query finds, with ``distance``, ordered (by distance and id unless told otherwise) and paged."""
         where = self.condition()
-        scalar = None if where is None else rows.where(where).select(F.col(id_col).alias("id"))
-        found = None
-        if self.vector is not None:
-            query, k, metric = self.vector
-            found = knn.nearest(rows, query, k, metric, id_col, vec).select(F.col(id_col).alias("id"), "distance")
-        if found is None:
-            out = (rows.select(F.col(id_col).alias("id")) if scalar is None else scalar).withColumn("distance", F.lit(0.0))
-        else:
-            out = found if scalar is None else merge(found, scalar, self.strategy, *self.weights)
-        out = rows.join(out.withColumnRenamed("id", id_col), id_col)
+        if self.vector is None or where is None or self.strategy == "intersection":
+            # One scan: the rows that are found are filtered where they are.
+            out = rows.withColumn("distance", F.lit(0.0)) if self.vector is None else knn.nearest(rows, *self.vector, id_col, vec)
+            return self._paged(out if where is None else out.where(where), rows, id_col)
+        scalar = rows.where(where).select(F.col(id_col).alias("id"))
+        found = knn.nearest(rows, *self.vector, id_col, vec).select(F.col(id_col).alias("id"), "distance")
+        out = merge(found, scalar, self.strategy, *self.weights)
+        return self._paged(rows.join(out.withColumnRenamed("id", id_col), id_col), rows, id_col)
+
+    def _paged(self, out: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+        out = out.select(*rows.columns, "distance")
         keys = [F.desc_nulls_first(c) if down else F.asc_nulls_last(c) for c, down in self.order] or [F.asc("distance")]
         out = out.orderBy(*keys, F.asc(id_col))
         if self.skip:

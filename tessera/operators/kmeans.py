@@ -38,13 +38,13 @@ def lloyd(vectors: DataFrame, k: int, rounds: int, id_col: str = "id", vec: str
 
 def sample(rows: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     """``n`` rows without replacement, the same ones each time: those with the smallest hashes of the id."""
-    return rows.orderBy(F.xxhash64(id_col), id_col).limit(n)
+    return rows.orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(n)
 
 
 def training_sample(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFrame:
-    """About ``ratio`` of the rows, chosen by a hash of the id, and at least one."""
-    bound = int(min(1.0, max(0.0, ratio)) * 1_000_000)
-    chosen = rows.withColumn("_h", F.pmod(F.xxhash64(id_col), F.lit(1_000_000)))
+    """About ``ratio`` of the rows, chosen by the first 32 bits of the id's MD5, and at least one."""
+    bound = int(min(1.0, max(0.0, ratio)) * 2**32)
+    chosen = rows.withColumn("_h", F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("long"))
     least = chosen.agg(F.min("_h").alias("_least"))
     return chosen.join(F.broadcast(least)).where((F.col("_h") < bound) | (F.col("_h") == F.col("_least"))).drop("_h", "_least")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.ranks import ranked
 from tessera.plans.skew import grouped
 
 
@@ -20,8 +21,20 @@ PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
 def percentiles(rows: DataFrame, value: str, by: Sequence[str] = (), points: dict[str, float] = PERCENTILES) -> DataFrame:
-    """Exact percentiles, interpolated between neighbours."""
-    return rows.groupBy(*by).agg(*[F.percentile(value, p).alias(n) for n, p in points.items()])
+    """Exact percentiles, interpolated between neighbours; null values don't count.
+
+    Values get their places in the group's order, and the two at either side of each percentile are
+    picked: no group's values are held in one place.
+    """
+    placed = ranked(rows.where(F.col(value).isNotNull()).select(*by, value), by, [value], "_k", "_n")
+    out = []
+    for name, p in points.items():
+        at = F.lit(p) * (F.col("_n") - 1) + 1
+        low = F.max(F.when(F.col("_k") == F.floor(at), F.col(value)))
+        high = F.max(F.when(F.col("_k") == F.ceil(at), F.col(value)))
+        share = F.max(at - F.floor(at))
+        out.append((low + (high - low) * share).alias(name))
+    return placed.groupBy(*by).agg(*out)
 
 
 def mean(value: str | Column) -> Column:
@@ -63,8 +76,7 @@ def latest(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) ->
 
 def trend(rows: DataFrame, by: str, order: Sequence[str], latency: str, quality: str, least: int = 10) -> DataFrame:
     """``by``, ``latency_change``, ``quality_change`` (percent, second half against the first) and ``trend``."""
-    w = Window.partitionBy(by)
-    halves = rows.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(*order))).where(F.col("_n") >= least)
+    halves = ranked(rows, [by], order, "_k", "_n").where(F.col("_n") >= least)
     late = F.col("_k") > F.floor(F.col("_n") / 2)
 
     def change(c: str) -> Column:
@@ -116,12 +128,10 @@ def moving_average(rows: DataFrame, by: Sequence[str], order: Sequence[str], val
     """The exponential average of each group at its end: the first value, then (1 - weight) old + weight new.
 
     With n rows, the row at place i counts weight * (1 - weight) ** (n - 1 - i), the first one without
-    its weight; so it is one window for the places and one sum, with no ordered list of a group.
+    its weight; so it takes the places and one sum, with no ordered list of a group.
     """
-    w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
-    first = Window.partitionBy(*by).orderBy(*order)
-    placed = rows.withColumn("_left", F.row_number().over(w) - 1).withColumn("_at", F.row_number().over(first))
-    part = F.col(value) * F.pow(F.lit(1 - weight), F.col("_left")) * F.when(F.col("_at") == 1, 1.0).otherwise(weight)
+    placed = ranked(rows, by, order, "_at", "_n")
+    part = F.col(value) * F.pow(F.lit(1 - weight), F.col("_n") - F.col("_at")) * F.when(F.col("_at") == 1, 1.0).otherwise(weight)
     return placed.groupBy(*by).agg(F.count("*").alias("n"), F.sum(part).alias("average"))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.durable import durable
 
+#: Places on a ring, at most: some 20 MB that go to the tasks.
+MOST_PLACES = 1_000_000
+
 LEVELS = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
 
 
@@ -52,18 +57,21 @@ def point(key: Column) -> Column:
 def on_ring(keys: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """``keys`` with ``node``: the first place at or after the key's, or else the first of all.
 
-    The ring is a table of nodes times replicas, which goes to the tasks as one sorted array; each
-    key is then a search in it, without a join.
+    The ring is a table of nodes times replicas, ``MOST_PLACES`` at most, which goes to the tasks as a
+    sorted array; each key is then a binary search in it, without a join.
     """
-    rows = places.orderBy("point", "node").collect()
+    rows = places.orderBy("point", "node").limit(MOST_PLACES + 1).collect()
     if not rows:
         raise ValueError("the ring has no nodes")
-    if len(rows) > 10_000:
-        raise ValueError("the ring has more than 10,000 places")
-    sorted_ = F.array(*[F.struct(F.lit(r["point"]).alias("p"), F.lit(r["node"]).alias("n")) for r in rows])
-    at = point(F.col(key))
-    after = F.filter(sorted_, lambda x: x["p"] >= at)
-    return keys.withColumn("node", F.coalesce(F.get(after, 0), F.get(sorted_, 0))["n"])
+    if len(rows) > MOST_PLACES:
+        raise ValueError(f"the ring has more than {MOST_PLACES} places")
+    points, nodes = np.array([r["point"] for r in rows]), np.array([r["node"] for r in rows], object)
+
+    @F.pandas_udf(places.schema["node"].dataType.simpleString())
+    def found(at: pd.Series) -> pd.Series:
+        return pd.Series(nodes[np.searchsorted(points, at.to_numpy()) % len(points)])
+
+    return keys.withColumn("node", found(F.coalesce(point(F.col(key)), F.lit(0))))
 
 
 def _only_cycles(edges: DataFrame) -> DataFrame:

@@ -22,11 +22,13 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Documents without words count among the documents.
     """
-    counts = term_counts(docs, id_col, text_col)
-    lengths = docs.select(id_col, F.size(T.words(F.col(text_col))).alias("_len"))
+    # The array behind a generator is made once: its length and its words come from the same one.
+    listed = docs.select(id_col, F.explode(F.array(T.words(F.col(text_col)))).alias("_words"))
+    words = listed.select(id_col, F.size("_words").alias("_len"), F.explode("_words").alias("word"))
+    counts = words.groupBy(id_col, "_len", "word").agg(F.count("*").alias("n"))
     frequency = grouped(counts, ["word"], F.count("*").alias("_df"))
     n_docs = F.lit(docs.count())
-    both = counts.join(lengths, id_col).join(frequency, "word")
+    both = counts.join(frequency, "word")
     return both.select(id_col, "word", (F.col("n") / F.col("_len") * F.ln(n_docs / F.col("_df"))).alias("weight"))
 
 

@@ -80,15 +80,24 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CAST(r.n AS BIGINT) AS n_chunks, CAST(r.s AS BIGINT) AS last_size FROM r""",
 )
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = docs(spark, sf_dir).select("doc_id", T.chunks(F.col("text")).alias("c")).where("size(c) > 0")
+    # Behind a generator the fold runs once, whatever reads its result.
+    c = docs(spark, sf_dir).select("doc_id", F.explode(F.array(T.chunks(F.col("text")))).alias("c")).where("size(c) > 0")
     last = F.replace(F.element_at("c", -1), F.lit(" "), F.lit(""))
     return c.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.octet_length(last).cast("long").alias("last_size"))
 
 
-@query("chunk_rows")
+@query(
+    "chunk_rows",
+    r"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\s\x0B]+'), lambda x: {'done': CAST([] AS VARCHAR[]), 'open': x, 'size': strlen(x)}) AS w FROM documents),
+    r AS (SELECT doc_id, list_reduce(w, lambda a, x: CASE WHEN a.size + x.size > 512 THEN {'done': list_append(a.done, a.open), 'open': x.open, 'size': x.size}
+          ELSE {'done': a.done, 'open': a.open || ' ' || x.open, 'size': a.size + x.size} END) AS r FROM w WHERE len(w) > 0),
+    c AS (SELECT doc_id, list_append(r.done, r.open) AS c FROM r),
+    u AS (SELECT doc_id, len(c) AS total, unnest(range(len(c))) AS chunk, unnest(c) AS text FROM c)
+    SELECT doc_id, CAST(total AS INTEGER) AS total, CAST(chunk AS INTEGER) AS chunk, text, doc_id || '_chunk_' || chunk AS chunk_id FROM u""",
+)
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with its id, place and number of chunks."""
-    c = docs(spark, sf_dir).withColumn("c", T.chunks(F.col("text")))
+    c = docs(spark, sf_dir).select("doc_id", F.explode(F.array(T.chunks(F.col("text")))).alias("c"))
     return c.select("doc_id", F.size("c").alias("total"), F.posexplode("c").alias("chunk", "text")).withColumn(
         "chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk").cast("string"))
     )

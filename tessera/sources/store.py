@@ -10,9 +10,10 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.ranks import ranked
 from tessera.sources import ingest
 
 
@@ -104,7 +105,10 @@ class Store:
     def delete(self, name: str, keys: DataFrame, key: str = "id") -> None:
         self.replace(name, without(self.read(name), keys, key))
 
-    def get(self, name: str, keys: Sequence, key: str = "id") -> DataFrame:
+    def get(self, name: str, keys: Sequence | DataFrame, key: str = "id") -> DataFrame:
+        """The rows with any of ``keys``: a few values, or a table with the key column."""
+        if isinstance(keys, DataFrame):
+            return self.read(name).join(keys.select(key).distinct(), key, "left_semi")
         return self.read(name).where(F.col(key).isin(list(keys)))
 
     def counts(self) -> dict[str, int]:
@@ -113,6 +117,15 @@ class Store:
     def backup(self, name: str, folder: str) -> None:
         self.read(name).write.parquet(f"{folder}/{name}")
 
+    def backups(self, folder: str) -> DataFrame:
+        """``name`` and ``rows`` of the backups in a folder, by name."""
+        fs, at = self._fs(folder)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+        out = self.spark.createDataFrame([], "name string, rows long")
+        for n in names:
+            out = out.unionByName(self.spark.read.parquet(f"{folder}/{n}").agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows"))
+        return out
+
     def restore(self, name: str, folder: str, saved_as: str | None = None) -> None:
         self.replace(name, self.spark.read.parquet(f"{folder}/{saved_as or name}"))
 
@@ -145,17 +158,8 @@ def without(now: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def with_score_ids(rows: DataFrame, key: str, after: int = 0) -> DataFrame:
-    """``rows`` with ``score_id``: gapless from ``after + 1`` in the order of the key.
-
-    Rows are range-partitioned and numbered within their partition; only the partitions' counts meet
-    in one place.
-    """
-    spread = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    k = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return spread.withColumn("_k", k).join(F.broadcast(starts), "_part").withColumn("score_id", F.col("_start") + F.col("_k") + after).drop("_part", "_k", "_start")
+    """``rows`` with ``score_id``: gapless from ``after + 1`` in the order of the key."""
+    return ranked(rows, [], [key], "_place").withColumn("score_id", F.col("_place") + after).drop("_place")
 
 
 def encrypted(value: Column, key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import ivf
+from tessera.plans.durable import shared_folder
 from tessera.sources.store import Store
 
 
@@ -43,11 +44,16 @@ def update_centroids(vectors: DataFrame, cids: Sequence, centroids, id_col: str
 
 
 def replay(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """All rows that a stream over the Parquet files of a folder gives, run to its end into a memory table."""
-    import uuid
+    """All rows that a stream over the Parquet files of a folder gives, run to its end into a table in the shared folder.
 
-    name = f"replay_{uuid.uuid4().hex}"
+    In the mode ``complete`` each batch is the whole result and replaces the one before.
+    """
+    folder = shared_folder(spark, "replay")
     rows = transform(spark.readStream.schema(schema).parquet(path))
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{'all' if mode == 'complete' else number}")
+
+    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(folder)
