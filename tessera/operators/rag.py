@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import vectors as V
 from tessera.operators import knn
 
 #: The headings of a prompt and the names of the roles.
@@ -72,3 +73,13 @@ def oldest_session(sessions: DataFrame, by: str = "user_id", time: str = "expire
 def latest_versions(rows: DataFrame, by: str = "session_id", version: str = "version") -> DataFrame:
     """The row of each session with the highest version."""
     return rows.groupBy(by).agg(F.max_by(F.struct(*[c for c in rows.columns if c != by]), version).alias("_r")).select(by, "_r.*")
+
+
+def session_documents(messages: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``by``, ``keywords`` (array of field and word: the session and its roles), ``content`` (a line a message) and ``score_id``."""
+    line = F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    out = messages.groupBy(by).agg(F.array_sort(F.collect_list(line)).alias("_l"), F.array_sort(F.collect_set(role)).alias("_r"))
+    word = lambda field, w: F.struct(F.lit(field).alias("field"), w.cast("string").alias("word"))
+    keywords = F.concat(F.array(word("session", F.col(by))), F.transform("_r", lambda r: word("role", r)))
+    content = F.array_join(F.transform("_l", lambda x: x["t"]), "\n")
+    return out.select(by, keywords.alias("keywords"), content.alias("content"), V.poly_hash(F.col(by).cast("string")).alias("score_id"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.bits import ranges_overlap
 from tessera.plans.durable import durable
 
 #: Places on a ring, at most: some 20 MB that go to the tasks.
@@ -146,3 +147,25 @@ def modulo_shard(key: Column, shards: int) -> Column:
 def hash_shard(key: Column, shards: int) -> Column:
     """A hash of the key modulo the number of shards."""
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def sharing_views(views: DataFrame, tx: str = "tx", active: str = "active") -> DataFrame:
+    """``tx``: transactions whose view holds an active transaction that another's view holds as well."""
+    seen = views.select(tx, active).distinct()
+    shared = seen.groupBy(active).agg(F.count("*").alias("_n")).where("_n > 1").select(active)
+    return seen.join(shared, active, "left_semi").select(tx).distinct()
+
+
+def lock_conflicts(locks: DataFrame, width: int) -> DataFrame:
+    """``a``, ``b`` (a < b): transactions with locks on closed ranges (``low``, ``high``) that share a key, not both ``shared``.
+
+    Ranges meet in the bins of ``width`` keys that they touch, at the first bin that two share.
+    """
+    bin_ = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    binned = locks.select("tx", "low", "high", "shared", F.explode(F.sequence(bin_("low"), bin_("high"))).alias("bin"))
+    a = binned.select("bin", *[F.col(c).alias(f"a_{c}") for c in ("tx", "low", "high", "shared")])
+    b = binned.select("bin", *[F.col(c).alias(f"b_{c}") for c in ("tx", "low", "high", "shared")])
+    first = F.col("bin") == F.floor(F.greatest("a_low", "b_low") / F.lit(width))
+    met = ranges_overlap(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")) & first
+    both = a.join(b, "bin").where((F.col("a_tx") < F.col("b_tx")) & ~(F.col("a_shared") & F.col("b_shared")) & met)
+    return both.select(F.col("a_tx").alias("a"), F.col("b_tx").alias("b")).distinct()
