@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: Modules of tessera.plans that register queries.
-MODULES: tuple[str, ...] = ("q_vector", "q_index", "q_text", "q_records", "q_store")
+MODULES: tuple[str, ...] = ("q_vector", "q_index", "q_text", "q_records", "q_store", "q_rules")
 
 
 def queries() -> dict[str, Query]:

@@ -84,14 +84,8 @@ def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.page(rows, 2, 25, ["down", "o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
-@query("sort_nulls", "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders ORDER BY p DESC NULLS FIRST, o_orderkey LIMIT 30")
+@query("sort_nulls", "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders ORDER BY p DESC NULLS FIRST, o_orderkey")
 def sort_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
-    return rows.orderBy(F.desc_nulls_first("p"), "o_orderkey").limit(30)
-
-
-@query("sort_nulls_all", "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders ORDER BY p DESC NULLS FIRST, o_orderkey")
-def sort_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
     return rows.orderBy(F.desc_nulls_first("p"), "o_orderkey")
 
@@ -209,25 +203,45 @@ def alert_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.alerts(events(spark, sf_dir), ["user_id"], "ts", F.col("value") > 80, 600).select("event_id", "user_id")
 
 
-@query("alert_cooldown")
+def _fold(rows: str, first: str, step: str, state: str) -> str:
+    """SQL that folds the rows of each user in order of time; ``n`` is the next row, ``s`` the state after the one before."""
+    return f"""WITH RECURSIVE r AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {rows}),
+    f AS (SELECT event_id, user_id, ts, t, k, {first} FROM r WHERE k = 1
+      UNION ALL SELECT event_id, user_id, ts, t, k, {step} FROM (SELECT n.*, {state} FROM f s JOIN r n ON n.user_id = s.user_id AND n.k = s.k + 1))
+    SELECT event_id, user_id, ts, allowed FROM f"""
+
+
+_ALERTS = _fold("events WHERE value > 80", "true AS allowed, t AS last", "t - last >= 600, CASE WHEN t - last >= 600 THEN t ELSE last END", "s.last AS last")
+
+
+@query("alert_cooldown", f"SELECT event_id, user_id, ts FROM ({_ALERTS}) WHERE allowed")
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired = events(spark, sf_dir).where("value > 80").select("event_id", "user_id", "ts")
     return limits.admitted(fired, lambda: limits.Cooldown(600), "user_id", "ts", ["event_id"]).where("allowed").drop("allowed")
 
 
-@query("rate_token_bucket")
+@query("rate_token_bucket", _fold("events", "true AS allowed, 2.0::DOUBLE AS tokens", "held >= 1, CASE WHEN held >= 1 THEN held - 1 ELSE held END", "least(3.0::DOUBLE, s.tokens + (n.t - s.t) * 0.001::DOUBLE) AS held"))
 def rate_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "ts")
     return limits.admitted(e, lambda: limits.TokenBucket(0.001, 3), "user_id", "ts", ["event_id"])
 
 
-@query("rate_sliding_window")
+@query("rate_sliding_window", _fold("events", "true AS allowed, [t] AS past", "len(past) < 3, CASE WHEN len(past) < 3 THEN list_append(past, t) ELSE past END", "list_filter(s.past, lambda x: x > n.t - 3600) AS past"))
 def rate_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "ts")
     return limits.admitted(e, lambda: limits.SlidingWindow(0.001, 3600), "user_id", "ts", ["event_id"])
 
 
-@query("rate_fixed_window")
+_NEW = "t - began > 3600"
+
+
+@query(
+    "rate_fixed_window",
+    _fold(
+        "events", "true AS allowed, t AS began, 1 AS held", f"CASE WHEN {_NEW} THEN true ELSE held < 3 END, CASE WHEN {_NEW} THEN t ELSE began END, CASE WHEN {_NEW} THEN 1 WHEN held < 3 THEN held + 1 ELSE held END",
+        "s.began AS began, s.held AS held",
+    ),
+)
 def rate_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "ts")
     return limits.admitted(e, lambda: limits.FixedWindow(0.001, 3600), "user_id", "ts", ["event_id"])
@@ -309,21 +323,12 @@ def shard_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select(F.col("id").alias("vec_id"), versions.modulo_shard(F.col("id"), 7).alias("shard"))
 
 
-_WAITS = "SELECT DISTINCT user_id AS waiter, event_id % 40 AS holder FROM events WHERE event_type = 'error' AND user_id < 40"
-
-
 @query(
     "deadlocks",
-    f"""WITH RECURSIVE w AS ({_WAITS}), reach AS (SELECT waiter, holder FROM w UNION SELECT r.waiter, w.holder FROM reach r JOIN w ON w.waiter = r.holder)
-    SELECT DISTINCT waiter AS tx FROM reach WHERE waiter = holder""",
+    """WITH RECURSIVE w AS (SELECT DISTINCT user_id AS waiter, event_id % (SELECT max(user_id) + 1 FROM events) AS holder FROM events WHERE event_type = 'error'),
+    reach AS (SELECT waiter, holder FROM w UNION SELECT r.waiter, w.holder FROM reach r JOIN w ON w.waiter = r.holder) SELECT DISTINCT waiter AS tx FROM reach WHERE waiter = holder""",
 )
 def deadlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_type = 'error' and user_id < 40").select(F.col("user_id").alias("waiter"), (F.col("event_id") % 40).alias("holder"))
-    return versions.deadlocked(e)
-
-
-@query("deadlocks_all")
-def deadlocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waits among all users: the one of an error event waits for the one that the event's id falls to."""
     e = events(spark, sf_dir)
     users = e.agg(F.max("user_id")).first()[0] or 0

@@ -12,8 +12,8 @@ from tessera.operators import graph, ivf, kmeans, knn, lsh, pca, pq, quality
 from tessera.plans.catalogue import query
 from tessera.sources.tables import table
 
-#: Neighbours asked for, and the ids of the vectors that serve as queries.
-K, QUERY, QUERIES = 10, 0, (0, 1, 2, 3, 4)
+#: Neighbours asked for, and the id of the vector that serves as the one query.
+K, QUERY = 10, 0
 _E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _Q = "q AS (SELECT v AS q FROM e WHERE vec_id = 0)"
 _COS = "list_cosine_similarity(v, q)"
@@ -96,58 +96,31 @@ def vec_quantize8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select(F.col("id").alias("vec_id"), F.round(total, 6).alias("total"), F.round(V.l2(F.col("vec"), F.col("w")), 6).alias("error"))
 
 
-_BATCH = f"""WITH {_E}, q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < 5),
+#: Every vector with an id that this divides is a query of the searches for many.
+EVERY = 20
+_BATCH = f"""WITH {_E}, q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % {EVERY} = 0),
     d AS (SELECT query_id, vec_id, 1 - {_COS} AS d FROM e, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d)"""
 
 
-def _queries(e: DataFrame) -> list[tuple[int, list[float]]]:
-    return [(r["id"], list(r["vec"])) for r in e.where(F.col("id").isin(list(QUERIES))).orderBy("id").collect()]
+def _all_queries(e: DataFrame) -> list[tuple[int, list[float]]]:
+    return [(r["id"], list(r["vec"])) for r in e.where(F.col("id") % EVERY == 0).orderBy("id").collect()]
 
 
 @query("knn_batch_topk", f"{_BATCH} SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= {K}")
 def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return knn.batch(e, _queries(e), K).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
+    return knn.batch(e, _all_queries(e), K).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
 
 
 @query("cosine_matrix", f"{_BATCH} SELECT query_id, vec_id, round(1 - d, 6) AS similarity FROM r")
 def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    sims = F.array(*[F.struct(F.lit(i).cast("long").alias("q"), V.cosine(F.col("vec"), q).alias("s")) for i, q in _queries(e)])
-    return e.select("id", F.explode(sims).alias("p")).select(F.col("p.q").alias("query_id"), F.col("id").alias("vec_id"), F.round("p.s", 6).alias("similarity"))
-
-
-# -- the same for every vector whose id is divisible by 20
-
-EVERY = 20
-_BATCH_ALL = _BATCH.replace("vec_id < 5", f"vec_id % {EVERY} = 0")
-
-
-def _all_queries(e: DataFrame) -> list[tuple[int, list[float]]]:
-    return [(r["id"], list(r["vec"])) for r in e.where(F.col("id") % EVERY == 0).orderBy("id").collect()]
-
-
-@query("knn_batch_topk_all", f"{_BATCH_ALL} SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= {K}")
-def knn_batch_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return knn.batch(e, _all_queries(e), K).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
-
-
-@query("cosine_matrix_all", f"{_BATCH_ALL} SELECT query_id, vec_id, round(1 - d, 6) AS similarity FROM r")
-def cosine_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     return knn.pairs(e, _all_queries(e)).select("query_id", F.col("id").alias("vec_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
-@query("knn_threshold", f"WITH {_E}, {_Q} SELECT vec_id, round({_COS}, 6) AS similarity FROM e, q WHERE {_COS} >= 0.2 ORDER BY {_COS} DESC, vec_id LIMIT 50")
+@query("knn_threshold", f"WITH {_E}, {_Q} SELECT vec_id, round({_COS}, 6) AS similarity FROM e, q WHERE {_COS} >= 0.2")
 def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return knn.nearest_above(e, vector(e), 0.2, 50).select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
-
-
-@query("knn_threshold_all", f"WITH {_E}, {_Q} SELECT vec_id, round({_COS}, 6) AS similarity FROM e, q WHERE {_COS} >= 0.2")
-def knn_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     return knn.nearest_above(e, vector(e), 0.2).select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
@@ -384,11 +357,15 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- quality of the inverted file against exact search
 
-_QUALITY = f"""WITH {_E}, {_ASSIGN}, q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < 5),
+# -- index searches for every vector whose id is divisible by 20, with parameters that find 9 of 10 true neighbours
+
+PROBES, RADIUS, PARTS, CODES, COARSE = 8, 3, 32, 256, 50
+
+_QUALITY = f"""WITH {_E}, {_ASSIGN}, q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % {EVERY} = 0),
     dt AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY 1 - {_COS}, vec_id) AS k FROM e, q),
     truth AS (SELECT query_id, vec_id FROM dt WHERE k <= {K}),
     pd AS (SELECT query_id, q, cid, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(c, q), 9), cid) AS k FROM c, q),
-    fd AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY 1 - {_COS}, vec_id) AS rank FROM cells JOIN pd USING (cid) WHERE pd.k <= 2),
+    fd AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY 1 - {_COS}, vec_id) AS rank FROM cells JOIN pd USING (cid) WHERE pd.k <= {PROBES}),
     found AS (SELECT * FROM fd WHERE rank <= {K}),
     j AS (SELECT f.query_id, f.rank, t.vec_id IS NOT NULL AS hit FROM found f LEFT JOIN truth t USING (query_id, vec_id)),
     g AS (SELECT query_id, count(*) AS n, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg,
@@ -398,22 +375,6 @@ _QUALITY = f"""WITH {_E}, {_ASSIGN}, q AS (SELECT vec_id AS query_id, v AS q FRO
            round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, {K + 1}) t(i)), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr FROM g"""
 
 
-@query("ivf_quality", _QUALITY)
-def ivf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    queries = _queries(e)
-    cells, cids, c = _cells(e)
-    found = None
-    for i, q in queries:
-        one = ivf.search(cells, q, K, ivf.probes(q, cids, c, 2)).select(F.lit(i).cast("long").alias("query_id"), "id", "distance")
-        found = one if found is None else found.unionByName(one)
-    from pyspark.sql import Window
-
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
-    m = quality.metrics(ranked, knn.batch(e, queries, K).select("query_id", "id"))
-    return m.select("query_id", *[F.round(x, 6).alias(x) for x in ("recall", "precision", "f1", "ndcg", "mrr")])
-
-
 @query(
     "search_quality_estimate",
     f"""{_BATCH}, t AS (SELECT query_id, 1 - d AS s FROM r WHERE rank <= {K})
@@ -421,30 +382,13 @@ def ivf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
       + 0.5 * (1 / (1 + var_pop(s))) * (CASE WHEN max(s) < 0.5 THEN max(s) * 2 ELSE 1 END) + 0.1)), 6) AS quality FROM t GROUP BY query_id""",
 )
 def search_quality_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    top = knn.batch(e, _queries(e), K).withColumn("similarity", 1 - F.col("distance"))
-    return quality.estimate(top, K).select("query_id", F.round("quality", 6).alias("quality"))
-
-
-@query(
-    "search_quality_estimate_all",
-    f"""{_BATCH_ALL}, t AS (SELECT query_id, 1 - d AS s FROM r WHERE rank <= {K})
-    SELECT query_id, round(least(1.0, greatest(0.0, 0.4 * least(1.0, count(*) / {K}.0)
-      + 0.5 * (1 / (1 + var_pop(s))) * (CASE WHEN max(s) < 0.5 THEN max(s) * 2 ELSE 1 END) + 0.1)), 6) AS quality FROM t GROUP BY query_id""",
-)
-def search_quality_estimate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     top = knn.batch(e, _all_queries(e), K).withColumn("similarity", 1 - F.col("distance"))
     return quality.estimate(top, K).select("query_id", F.round("quality", 6).alias("quality"))
 
 
-# -- index searches for every vector whose id is divisible by 20, with parameters that find 9 of 10 true neighbours
-
-PROBES, RADIUS, PARTS, CODES, COARSE = 8, 3, 32, 256, 50
-
-
-@query("ivf_quality_all", _QUALITY.replace("vec_id < 5", f"vec_id % {EVERY} = 0").replace("pd.k <= 2", f"pd.k <= {PROBES}"))
-def ivf_quality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("ivf_quality", _QUALITY)
+def ivf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     queries = _all_queries(e)
     _, _, c = _cells(e)

@@ -5,7 +5,7 @@ from tessera.plans import catalogue
 def test_every_twentieth_vector_is_a_query(spark, sf):
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     wanted = {i for i in ids if i % 20 == 0}
-    for name, rows in (("knn_batch_topk_all", 10), ("cosine_matrix_all", len(ids)), ("search_quality_estimate_all", 1)):
+    for name, rows in (("knn_batch_topk", 10), ("cosine_matrix", len(ids)), ("search_quality_estimate", 1)):
         got = catalogue.queries()[name](spark, sf).select("query_id").collect()
         assert {r.query_id for r in got} == wanted and len(got) == rows * len(wanted)
 

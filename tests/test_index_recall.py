@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["lsh_batch_topk", "pq_batch_topk", "ivf_quality_all"])
+@pytest.mark.parametrize("name", ["lsh_batch_topk", "pq_batch_topk", "ivf_quality"])
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
 def test_recall_against_brute_force(spark, name, size):
     rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").orderBy("vec_id").collect()
@@ -13,7 +13,7 @@ def test_recall_against_brute_force(spark, name, size):
     x /= np.linalg.norm(x, axis=1)[:, None]
     true = {int(ids[i]): set(ids[np.lexsort((ids, -(x @ x[i])))[:10]].tolist()) for i in np.nonzero(ids % 20 == 0)[0]}
     got = catalogue.queries()[name](spark, f"/root/testdata/{size}")
-    if name == "ivf_quality_all":
+    if name == "ivf_quality":
         n, recall = got.agg(F.count("*"), F.avg("recall")).first()
     else:
         found = {}
