@@ -1,6 +1,6 @@
 """Asking hash-partitioned tables about 64-bit keys of documents, many keys in a row.
 
-Documents are dealt into buckets of bounded size by a hash of id and text. A bucket asks each part
+Documents are dealt into buckets of about one size by a hash of id and text. A bucket asks each part
 of the key space about its distinct keys, once however often they occur in the bucket, so a key that
 a third of all rows share reaches its part once per bucket. A part adds up what the buckets hold and
 replies to each. Both sides are plain group-bys; adaptive execution and the session's partition
@@ -17,20 +17,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import batches, words
+
 #: Bytes of text in a bucket, about; a longer text makes its bucket larger.
 BUCKET_BYTES = 8 << 20
+#: Bytes of text that a task deals out at a time.
+BUNDLED_BYTES = 32 << 20
 
 REQUEST = "part int, bucket int, kind int, keys binary, counts binary"
 REPLY = "bucket int, part int, kind int, totals binary"
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """``(bucket, _id, _text)`` for every row, and the number of buckets, which follows the input."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, str]:
+    """Bundles of rows by ``bucket``, the number of buckets, which follows the input, and the type of the ids.
+
+    A task bundles its rows of a bucket, their texts compressed as one; ``rows_of`` unpacks them.
+    """
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(size / bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("bucket")
-    return docs.select(bucket, F.col(id_col).alias("_id"), text.alias("_text")), n
+    order = F.xxhash64(F.col(id_col), text)
+    rows = docs.select(F.pmod(order, F.lit(n)).cast("int").alias("bucket"), F.col(id_col).alias("_id"), order.alias("_order"), text.alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def bundle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.pieces(parts, "_text", BUNDLED_BYTES):
+            bucket = part.column("bucket").to_numpy()
+            part = part.take(pa.array(np.argsort(bucket, kind="stable")))
+            bucket = part.column("bucket").to_numpy()
+            data, at = words.bytes_of(part.column("_text"))
+            cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+            offsets = pa.array(cut.astype(np.int32))
+            packed = [pa.compress(data[at[a] : at[b]].tobytes(), codec="zstd", asbytes=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[cut[:-1]]),
+                    pa.ListArray.from_arrays(offsets, part.column("_id")),
+                    pa.ListArray.from_arrays(offsets, part.column("_order")),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.diff(at))),
+                    pa.array(packed, pa.binary()),
+                ],
+                ["bucket", "_id", "_order", "_size", "_text"],
+            )
+
+    return rows.mapInArrow(bundle, f"bucket int, _id array<{kind}>, _order array<long>, _size array<long>, _text binary"), n, kind
+
+
+def rows_of(bundles: pa.Table) -> pa.Table:
+    """``_id`` and ``_text`` (null texts empty) of a bucket's rows, in an order that doesn't depend on how they were read."""
+    flat = lambda c: pa.concat_arrays([x.flatten() for x in bundles.column(c).chunks])
+    size = flat("_size").to_numpy()
+    held = [int(x.sum()) for x in np.split(size, np.cumsum([len(x) for x in column(bundles, "_size")])[:-1])]
+    raw = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) if n else b"" for x, n in zip(column(bundles, "_text").to_pylist(), held, strict=True))
+    text = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64)), pa.py_buffer(raw)])
+    order = pa.array(np.argsort(flat("_order").to_numpy(), kind="stable"))
+    return pa.table([flat("_id").take(order), text.take(order)], names=["_id", "_text"])
 
 
 def column(table: pa.Table, name: str) -> pa.Array:

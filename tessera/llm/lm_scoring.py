@@ -46,7 +46,8 @@ class Bucket:
     """The words of a bucket's texts, and what the count tables have replied about their n-grams."""
 
     def __init__(self, table: pa.Table, replies: pa.Table | None, parts: int):
-        self.words = words.split(exchange.column(table, "_text"))
+        self.rows = exchange.rows_of(table)
+        self.words = words.split(exchange.column(self.rows, "_text"))
         self.number, self.owner, self.parts, self.replies = words.numbers(self.words), self.words.owner(), parts, replies
         self.elsewhere: dict[int, np.ndarray] = {}  # by n: for each word, how often other texts have the n-gram that starts there
 
@@ -115,8 +116,7 @@ def scores(
     """
     if order < 1 or not 0 < backoff <= 1:
         raise ValueError("order must be 1 or more, backoff above 0 and 1 at most")
-    rows, parts = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
-    kind = rows.schema["_id"].dataType.simpleString()
+    rows, parts, kind = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
     all_words = _word_total(docs.select(F.col(text_col).cast("string").alias("_text")))
 
     def ask_first(table: pa.Table) -> pa.Table:
@@ -134,8 +134,8 @@ def scores(
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         b = Bucket(table, replies, parts)
         each = b.word_scores(order, all_words, backoff)
-        total = np.bincount(b.owner, weights=each, minlength=table.num_rows)
-        return pa.table([exchange.column(table, "_id"), pa.array(b.words.counts(), pa.int64()), pa.array(total, pa.float64())], names=["_id", "n_words", "log_score"])
+        total = np.bincount(b.owner, weights=each, minlength=b.rows.num_rows)
+        return pa.table([exchange.column(b.rows, "_id"), pa.array(b.words.counts(), pa.int64()), pa.array(total, pa.float64())], names=["_id", "n_words", "log_score"])
 
     by_bucket = rows.groupBy("bucket")
     counted = exchange.answer(by_bucket.applyInArrow(ask_first, exchange.REQUEST), exchange.numbers)
@@ -148,10 +148,10 @@ def scores(
 
 def ngram_counts(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """``gram`` (the 64-bit number of a run of ``n`` words) and ``count`` over all rows of ``docs``, in hash partitions."""
-    rows, parts = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
+    rows, parts, _ = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
 
     def ask(table: pa.Table) -> pa.Table:
-        w = words.split(exchange.column(table, "_text"))
+        w = words.split(exchange.column(exchange.rows_of(table), "_text"))
         keys, counts = np.unique(words.grams(words.numbers(w), w, n)[0], return_counts=True)
         return exchange.requests_table(list(exchange.request(table.column("bucket")[0].as_py(), n, keys, counts, parts)))
 

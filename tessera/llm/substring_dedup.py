@@ -149,11 +149,6 @@ def factors(source: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int)
     return owner[hit[start]], hit[start], hit[last] - hit[start] + window, source[start]
 
 
-def in_order(table: pa.Table) -> pa.Table:
-    """A block's rows in an order that doesn't depend on how they were read."""
-    return table.take(pa.array(np.argsort(exchange.column(table, "_order").to_numpy(), kind="stable")))
-
-
 def _keep(w: words.Words, covered: np.ndarray) -> tuple[list[str], np.ndarray]:
     """For each text its words that aren't covered, joined by one space, and the number covered."""
     stay = np.flatnonzero(~covered)
@@ -195,31 +190,29 @@ def without_repeats(
     """
     if not 1 <= anchor_words <= window:
         raise ValueError("anchors need 1 to window words")
-    rows, parts = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
-    rows = rows.withColumn("_order", F.xxhash64("_id", "_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    rows, parts, kind = exchange.bucketed(docs, id_col, text_col, bucket_bytes)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        p = parse(exchange.column(table, "_text"), window, anchor_words)
+        p = parse(exchange.column(exchange.rows_of(table), "_text"), window, anchor_words)
         bucket = table.column("bucket")[0].as_py()
         return exchange.requests_table(list(exchange.request(bucket, _ANCHORS, p.anchor_keys, p.anchor_counts, parts)))
 
     def ask_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return exchange.requests_table([])
-        p = parse(exchange.column(in_order(table), "_text"), window, anchor_words)
+        p = parse(exchange.column(exchange.rows_of(table), "_text"), window, anchor_words)
         maybe = _candidates(p, _anchor_bits(p, replies, parts))
         return exchange.requests_table(_asked(table.column("bucket")[0].as_py(), p.window[maybe], p.at[maybe], parts))
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = in_order(table)
+        bucket, table = table.column("bucket")[0].as_py(), exchange.rows_of(table)
         p = parse(exchange.column(table, "_text"), window, anchor_words)
         source = np.full(len(p.at), NOWHERE)
         if replies.num_rows:
             maybe = np.flatnonzero(_candidates(p, _anchor_bits(p, replies, parts)))
             keys, of = np.unique(p.window[maybe], return_inverse=True)
             elsewhere = exchange.totals_of(replies, _WINDOWS, np.uint64, _from_sources, keys, parts)
-            source[maybe] = sources(p.at[maybe], table.column("bucket")[0].as_py(), elsewhere, of)
+            source[maybe] = sources(p.at[maybe], bucket, elsewhere, of)
         text, first, n, source = factors(source, p.at, p.words.owner(), window)
         edge = np.zeros(len(p.words.starts) + 1, np.int64)
         np.add.at(edge, first, 1)
