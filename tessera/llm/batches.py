@@ -16,7 +16,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = PIECE_
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        text = batch.column(text_col)
+        text = text if pa.types.is_string(text.type) or pa.types.is_binary(text.type) else pc.cast(text, pa.string())
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if held and held + n > limit:

@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import batches, words
-from tessera.llm.rows import fresh
-from tessera.plans.durable import durable
 from tessera.sources.tables import table
 
 #: Edited words that an occurrence may have, as a share of the item's words.
@@ -153,27 +151,22 @@ def contaminated(
 
     An item occurs if a stretch of the document's words is at most ``errors`` times its words away in
     edits of words, case and punctuation apart; ``distance`` is the smallest number of edits and
-    ``last_word`` where the first such stretch ends. Items without words occur nowhere; a null text
-    is empty. Repeated documents and items give repeated rows. If either table is empty, so is the
+    ``last_word`` where the first such stretch ends. Items without words occur nowhere, and a null
+    text is empty; an item of one word occurs in every document that has the word, so leave out of
+    ``benchmark`` what is too short to mean anything. Repeated documents and items give repeated rows. If either table is empty, so is the
     result. Other columns are ignored whatever their names.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).cast("string").alias("_words")).where("_words is not null")
-    size = items.agg(F.sum(F.octet_length("_words"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind, item_kind = rows.schema["_id"].dataType.simpleString(), items.schema["_item"].dataType.simpleString()
     schema = f"_id {kind}, _item {item_kind}, distance int, item_words int, last_word int"
     out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("_item", "_words"), F.lit(blocks)) == b).collect()  # BLOCK_BYTES, about
-        if not block:
-            continue
-        known = index([r[0] for r in block], [r[1] for r in block], errors)
+    for known, times in _blocks(items, errors, block_bytes):
 
-        def find(parts: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
+        def find(parts: Iterator[pa.RecordBatch], known: Items = known, times: list[int] = times) -> Iterator[pa.RecordBatch]:
             for part in batches.pieces(parts, "_text"):
-                got = list(matches(part.column("_text"), known))
+                got = [m for m in matches(part.column("_text"), known) for _ in range(times[m[1]])]
                 t, x, d, e = map(list, zip(*got, strict=True)) if got else ([], [], [], [])
                 ids = part.column("_id").take(pa.array(t, pa.int64()))
                 item = pa.array([known.ids[i] for i in x], item_type)
@@ -187,24 +180,50 @@ def contaminated(
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
 
 
+def _blocks(items: DataFrame, errors: float, block_bytes: int) -> Iterator[tuple[Items, list[int]]]:
+    """Blocks of distinct items (``_item``, ``_words``) with about ``block_bytes`` of text, and how often each is listed.
+
+    A block is what comes to the driver and goes to the tasks at a time.
+    """
+    distinct = items.groupBy("_item", "_words").agg(F.count("*").alias("_times"))
+    size = distinct.agg(F.sum(F.octet_length("_words"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for b in range(blocks):
+        block = distinct.where(F.pmod(F.xxhash64("_item", "_words"), F.lit(blocks)) == b).collect()
+        if block:
+            yield index([r[0] for r in block], [r[1] for r in block], errors), [r[2] for r in block]
+
+
 def _arrow(items: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(items.schema["_item"].dataType)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_text_col: str = "text",
+    errors: float = ERRORS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The rows of ``docs`` in whose texts no item occurs, all columns.
 
-    The verdict belongs to the id: of rows that share an id, all go if one has an item. Rows with a
-    null id go by their text.
+    Every row is judged by its own text where it is read, without a shuffle; blocks of items are
+    filters one behind the other over a single scan. A null text is empty and stays. Repeated rows
+    stay or go together.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    bad = durable(contaminated(keyed, benchmark, "_key", "_text").select("_key").distinct())
-    own = fresh(docs, "_doc_key")
-    keyed = docs.withColumn(own, key)
-    return keyed.join(bad, keyed[own] == bad["_key"], "left_anti").drop(own)
+    items = benchmark.select(F.lit(0).alias("_item"), F.col(item_text_col).cast("string").alias("_words")).where("_words is not null")
+    for known, _ in _blocks(items, errors, block_bytes):
+
+        def clean(parts: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
+            for part in batches.pieces(parts, text_col):
+                bad = {m[0] for m in matches(pc.cast(part.column(text_col), pa.string()), known)}
+                yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +144,9 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``id_col``, ``held_out``, ``score`` (0 to 1, higher: likelier good) and ``predicted`` (1: good).
 
-    One row per row of ``docs``. Ids whose crc32 as text is divisible by 5 are held out of training;
+    One row per row of ``docs``. The score is the logistic function of the log-density difference
+    divided by the number of statistics: it orders documents as the posterior does and keeps the ends
+    apart, but 0.3 of it is a posterior of about 0.014. Ids whose crc32 as text is divisible by 5 are held out of training;
     null ids are neither held out nor learnt from. Without rows of both classes to learn from, every
     score is 0.5. Other columns are ignored whatever their names.
     """
@@ -179,7 +182,8 @@ def only_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, text_col):
-            yield part.filter(pa.array(difference(statistics(part.column(text_col)), classes) >= least))
+            x = statistics(pc.cast(part.column(text_col), pa.string()))
+            yield part.filter(pa.array(difference(x, classes) >= least))
 
     return docs.mapInArrow(judge, docs.schema)
 

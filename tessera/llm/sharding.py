@@ -7,6 +7,7 @@ so one more shard only takes rows for itself and moves none between the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
     A null key is a key of its own. Rows of one key share a shard.
     """
+    if any(not 0 <= w < math.inf for w in weights):
+        raise ValueError("weights must be numbers of 0 or more")
     scores = [_score(key, i, w) for i, w in enumerate(weights) if w > 0]
     if not scores:
         raise ValueError("at least one shard needs a weight above 0")
@@ -49,7 +52,8 @@ def shard(
     Rows of a shard are dealt over ``SLOT_BINS`` bins by a hash of key and ``tie_cols``; a bin's rows
     are numbered on their own and start after the rows of the bins before it. What is broadcast are
     the counts of bins: ``len(weights) * SLOT_BINS`` rows at most. Rows alike in key and ties are
-    numbered in any order. A null key is a key; an empty table gives no rows. ``df`` should be
+    numbered in any order. A null key is a key; an empty table gives no rows. Columns of ``df`` that
+    are named as the two new ones give way to them. ``df`` should be
     narrow: it is stored once, as both the counts and the numbering read it.
     """
     bins = F.pmod(F.xxhash64(F.col(key_col), *map(F.col, tie_cols), F.lit(-1)), F.lit(SLOT_BINS)).cast("int")
@@ -65,11 +69,13 @@ def shard(
     starts = (
         rows.groupBy("_shard", "_bin").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     )
-    within = Window.partitionBy("_shard", "_bin").orderBy(F.col(f"_r.{key_col}"), *[F.col(f"_r.{c}") for c in tie_cols])
+    new = {shard_col.lower(), slot_col.lower()}
+    kept = [F.col(f"_r.`{c}`") for c in df.columns if c.lower() not in new]
+    within = Window.partitionBy("_shard", "_bin").orderBy(F.col(f"_r.`{key_col}`"), *[F.col(f"_r.`{c}`") for c in tie_cols])
     return (
         rows.withColumn("_k", F.row_number().over(within))
         .join(F.broadcast(starts), ["_shard", "_bin"])
-        .select("_r.*", F.col("_shard").alias(shard_col), (F.col("_start") + F.col("_k") - 1).cast("long").alias(slot_col))
+        .select(*kept, F.col("_shard").alias(shard_col), (F.col("_start") + F.col("_k") - 1).cast("long").alias(slot_col))
     )
 
 

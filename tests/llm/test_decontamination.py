@@ -65,9 +65,12 @@ def test_against_brute_force(spark):
     for errors, size in ((0.2, 1 << 20), (0.2, 100), (0.0, 300)):
         got = sorted((tuple(r) for r in dc.contaminated(df, bench, errors=errors, block_bytes=size).collect()), key=repr)
         assert got == brute(docs, items, errors)
-    bad = {d for d, *_ in brute(docs, items)}
-    left = dc.without_contaminated(df, bench).collect()
-    assert sorted((r.doc_id for r in left), key=repr) == sorted((d for d, _ in docs if d not in bad), key=repr)
+    rows = [(k, t) for k, (_, t) in enumerate(docs)]
+    bad = {k for k, *_ in brute(rows, items)}
+    for size in (1 << 20, 100):
+        left = dc.without_contaminated(df, bench, block_bytes=size).collect()
+        assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted((docs[k] for k, _ in rows if k not in bad), key=repr)
+    assert (1, None) in {(r.doc_id, r.text) for r in left} and (1, "alpha beta alpha") not in {(r.doc_id, r.text) for r in left}
     assert dc.contaminated(df.limit(0), bench).count() == dc.contaminated(df, bench.limit(0)).count() == 0
 
 

@@ -41,8 +41,16 @@ def test_weights_and_moves(spark):
     assert set(n) == {0, 1, 3} and abs(n[1] - 10_000) < 500 and abs(n[0] - 5_000) < 400
     both = keys.select(sharding.rendezvous(F.col("id"), [1.0, 2.0, 1.0]).alias("a"), sharding.rendezvous(F.col("id"), [1.0, 3.0, 1.0]).alias("b"))
     assert all(r.a == r.b or r.b == 1 for r in both.collect())
-    with pytest.raises(ValueError):
-        sharding.rendezvous(F.col("id"), [0.0])
+    for weights in ([0.0], [], [1.0, -1.0], [1.0, float("nan")], [float("inf")]):
+        with pytest.raises(ValueError):
+            sharding.rendezvous(F.col("id"), weights)
+
+
+def test_columns_named_as_the_new_ones(spark):
+    df = spark.createDataFrame([(i, "x", "y", i) for i in range(50)], "k long, Shard string, slot string, a_b long")
+    got = sharding.shard(df, "k", [1.0, 1.0], tie_cols=("a_b",))
+    assert got.columns == ["k", "a_b", "shard", "slot"]
+    assert sorted(r.k for r in got.select("k", "shard", "slot").collect() if r.shard in (0, 1) and r.slot < 50) == list(range(50))
 
 
 def test_odd_rows(spark):
