@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: five filters and a tokenizer, each a DataFrame to a DataFrame.
+"""A training corpus from ``documents``: four filters and a tokenizer, each a DataFrame to a DataFrame.
 
 Every stage works on all rows that its predecessor kept and returns the columns of ``documents``;
 the last returns token ids. Between stages the rows are written as Parquet and read again.
@@ -6,14 +6,13 @@ the last returns token ids. Between stages the rows are written as Parquet and r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_codec, decontamination, exact_dedup, near_dedup, quality
-from tessera.plans.durable import ensure_checkpoint_dir
+from tessera.plans.durable import delete, durable, shared_folder
 from tessera.sources.tables import table
 
 
@@ -56,29 +55,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base}/corpus-{uuid.uuid4().hex}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over ``documents``.
 
-    What a stage leaves is kept in the shared folder until the next has been written; the last stage
-    is not written here, so the folder of the one before it stays.
+    What a stage leaves is kept in the shared folder until the next has been written; the last
+    stage's rows are a checkpoint. Nothing else stays, nor after a failure.
     """
-    docs, folder, before = table(spark, sf_dir, "documents"), _shared_folder(spark), None
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            _delete(spark, before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "corpus")
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                delete(spark, f"{folder}/{k - 1}")
+        return durable(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        delete(spark, folder)
