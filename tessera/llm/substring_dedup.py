@@ -29,6 +29,7 @@ WINDOW = 35
 #: Words in the runs that anchors are taken from.
 ANCHOR_WORDS = 12
 _ANCHORS, _WINDOWS = 0, 1
+_SPREAD = np.uint64(0xA24BAED4963EE407)
 #: A window that stands nowhere else.
 NOWHERE = np.uint64(2**64 - 1)
 
@@ -66,8 +67,10 @@ def parse(column: pa.Array, window: int = WINDOW, anchor_words: int = ANCHOR_WOR
     # Runs of a text stand together, so those of the window at word x are the ones from its own run on.
     first_run = np.searchsorted(run_at, at)
     place = _leftmost_minima(run, width)[first_run] if len(at) else np.zeros(0, np.int64)
-    keys, counts = np.unique(run[np.unique(place)], return_counts=True)
-    return Parsed(w, number_window, at, run[place] if len(at) else np.zeros(0, np.uint64), keys, counts)
+    # Smallest numbers lie close to 0: mixed anew, they spread over all parts of the index.
+    anchor = words.mix(run[place] + _SPREAD)
+    keys, counts = np.unique(words.mix(run[np.unique(place)] + _SPREAD), return_counts=True)
+    return Parsed(w, number_window, at, anchor, keys, counts)
 
 
 def _candidates(parsed: Parsed, repeated_anchor: np.ndarray) -> np.ndarray:
