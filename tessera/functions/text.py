@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,11 +15,31 @@ STOP_WORDS = (
 )
 
 
+#: Words in a dictionary that cuts text, at most.
+MOST_WORDS = 10_000
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than white space."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def segmented(text: Column, dictionary: Sequence[str]) -> Column:
+    """The text cut by a dictionary: at each place its longest word, or else a run of A-Z, a-z and digits or one character.
+
+    For scripts without spaces. The dictionary is part of the plan, ``MOST_WORDS`` words at most.
+    """
+    return F.regexp_extract_all(text, F.lit(segments(dictionary)), F.lit(0))
+
+
+def segments(dictionary: Sequence[str]) -> str:
+    """The pattern whose matches are the segments: alternatives are tried from left to right."""
+    words_ = sorted({w for w in dictionary if w}, key=lambda w: (-len(w), w))
+    if len(words_) > MOST_WORDS:
+        raise ValueError(f"a dictionary has {MOST_WORDS} words at most")
+    return "|".join([*map(re.escape, words_), "[A-Za-z0-9]+", r"[^\s]"])
+
+
 def clean(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Words between white space and punctuation, without stop words, joined by one space."""
     spaced = F.regexp_replace(text, r"[\s\p{P}]+", " ")

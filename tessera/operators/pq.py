@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import kmeans, knn
+from tessera.operators import ivf, kmeans, knn
+from tessera.sources.store import Store
 
 #: Codewords per part, at most: a code fits a byte.
 MOST_CODES = 256
@@ -32,14 +33,38 @@ def train(vectors: DataFrame, parts: int, codes: int, iterations: int = 25, seed
 
 
 def lloyd_codebook(vectors: DataFrame, parts: int, codes: int, rounds: int, id_col: str = "id", vec: str = "vec") -> np.ndarray:
-    """A codebook begun with the vectors of the smallest ids, after a fixed number of rounds."""
-    size = len(vectors.select(vec).first()[0])
-    step = size // parts
-    out = []
-    for i in range(parts):
-        cut = vectors.select(id_col, F.slice(vec, 1 + i * step, step).alias(vec))
-        out.append(np.array([r["c"] for r in kmeans.lloyd(cut, codes, rounds, id_col, vec).orderBy("cid").collect()]))
-    return np.stack(out)
+    """A codebook begun with the vectors of the smallest ids, after a fixed number of rounds.
+
+    Each round is one pass over the vectors for all parts together, which adds up the members of each
+    codeword block by block; the codebook comes to the driver in between. Codewords without members
+    become zeros.
+    """
+    rows = vectors.select(F.col(vec).cast("array<double>").alias("_vec"))
+    first = vectors.select(id_col, F.col(vec).cast("array<double>").alias("v")).orderBy(id_col).limit(codes).collect()
+    book = from_vectors([r["v"] for r in first], parts)
+    size, step = book.shape[0] * book.shape[2], book.shape[2]
+    for _ in range(rounds):
+
+        def add(batches: Iterator[pa.RecordBatch], book: np.ndarray = book) -> Iterator[pa.RecordBatch]:
+            total, members = np.zeros(book.shape), np.zeros(book.shape[:2], np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    block = batch.slice(at, 4096)
+                    block = block.filter(pa.array([n == size for n in block.column("_vec").value_lengths().to_pylist()], pa.bool_()))
+                    x = block.column("_vec").flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, parts, step)
+                    for p in range(parts if block.num_rows else 0):
+                        code, _ = ivf.nearest_cell(x[:, p], book[p])
+                        np.add.at(total[p], code, x[:, p])
+                        members[p] += np.bincount(code, minlength=book.shape[1])
+            part, code = np.nonzero(members)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * step), pa.array(total[part, code].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(members[part, code]), words], ["part", "code", "n", "word"])
+
+        sums = rows.mapInArrow(add, "part int, code int, n long, word array<double>").select("part", "code", "n", F.posexplode("word").alias("i", "x"))
+        book = np.zeros(book.shape)
+        for r in sums.groupBy("part", "code", "i").agg((F.sum("x") / F.sum("n")).alias("x")).collect():  # the size of the codebook
+            book[r["part"], r["code"], r["i"]] = r["x"]
+    return book
 
 
 def from_vectors(rows: Sequence[Sequence[float]], parts: int) -> np.ndarray:
@@ -64,6 +89,20 @@ def book_of(table: DataFrame) -> np.ndarray:
     return np.array([r["word"] for r in rows], float).reshape(parts, len(rows) // parts, -1)
 
 
+def train_version(store: Store, name: str, vectors: DataFrame, parts: int, codes: int, rounds: int = 5, id_col: str = "id", vec: str = "vec") -> int:
+    """Train a codebook and keep it in ``store`` as the next version of ``name``; gives its number, from 1."""
+    _check(np.zeros((parts, codes, 0)))
+    version = 1 + max(versions_of(store, name), default=0)
+    store.create(f"{name}-{version}", book_table(vectors.sparkSession, lloyd_codebook(vectors, parts, codes, rounds, id_col, vec)))
+    return version
+
+
+def versions_of(store: Store, name: str) -> list[int]:
+    """The versions of a codebook that ``store`` holds, ascending."""
+    numbers = [t.removeprefix(f"{name}-") for t in store.tables() if t.startswith(f"{name}-")]
+    return sorted(int(n) for n in numbers if n.isdigit())
+
+
 def encoded(vectors: DataFrame, book: np.ndarray, id_col: str = "id", vec: str = "vec", digits: int = 9) -> DataFrame:
     """``id_col`` and ``codes`` (array of int): the nearest codeword of each part, ties to the smaller."""
     _check(book)

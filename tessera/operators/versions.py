@@ -139,14 +139,15 @@ def deadlocked(edges: DataFrame) -> DataFrame:
         left = _only_cycles(rest)
     return out
 
+
 def modulo_shard(key: Column, shards: int) -> Column:
     """The key modulo the number of shards, from 0."""
     return F.pmod(key, F.lit(shards))
 
 
 def hash_shard(key: Column, shards: int) -> Column:
-    """A hash of the key modulo the number of shards."""
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    """The first 32 bits of the key's MD5 modulo the number of shards."""
+    return F.pmod(point(key), F.lit(shards)).cast("int")
 
 
 def sharing_views(views: DataFrame, tx: str = "tx", active: str = "active") -> DataFrame:

@@ -431,3 +431,45 @@ def variable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = hybrid.Query().near(vector(embeddings(spark, sf_dir)), 40).unless("label", "eq", 3).where("label", "lte", 7).limit(12)
     return q.run(embeddings(spark, sf_dir)).select(F.col("id").alias("vec_id"), "label")
+
+
+_CUT = ["the", "that", "with", "ción", "ciónes", "que", "queue", "ein", "eine", "sch", "é", "的", "一个", "a"]
+
+
+@query("segmented_text", f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS segments FROM (SELECT doc_id, regexp_extract_all(text, '{T.segments(_CUT)}') AS s FROM documents)")
+def segmented_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", T.segmented(F.col("text"), _CUT).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("segments"))
+
+
+@query("shard_hash", f"SELECT vec_id, CAST({_POINT} % 7 AS INTEGER) AS shard FROM embeddings")
+def shard_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).select(F.col("id").alias("vec_id"), versions.hash_shard(F.col("id"), 7).alias("shard"))
+
+
+@query("codebook_versions", "SELECT * FROM (VALUES (1, 64), (2, 64)) t(version, words)")
+def codebook_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trainings of one codebook of 8 parts with 8 codes, and what the store then holds."""
+    from tessera.operators import pq
+
+    e, store = embeddings(spark, sf_dir), _store(spark)
+    for _ in range(2):
+        pq.train_version(store, "book", e, 8, 8, rounds=1)
+    rows = [(v, store.read(f"book-{v}").count()) for v in pq.versions_of(store, "book")]
+    return spark.createDataFrame(rows, "version int, words int")
+
+
+@query("job_order", "SELECT * FROM (VALUES (1, 'import', 'done'), (2, 'cells', 'done'), (3, 'backup', 'done'), (4, 'count', 'done')) t(n, job, state)")
+def job_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that wait for each other over a store: import, cells (first among the ready), backup, counts."""
+    from tessera.streaming.jobs import Job, Jobs
+
+    e, store, ran = embeddings(spark, sf_dir), _store(spark), []
+    jobs = Jobs()
+    jobs.add(Job("count", lambda: ran.append(("count", store.counts()["vectors"])), after=("backup", "cells")))
+    jobs.add(Job("backup", lambda: (store.backup("vectors", shared_folder(spark, "backup")), ran.append(("backup", 0))), after=("import",)))
+    jobs.add(Job("cells", lambda: ran.append(("cells", ivf.means(store.read("vectors"), "label").count())), after=("import",), priority=1))
+    jobs.add(Job("import", lambda: (store.create("vectors", e), ran.append(("import", 0)))))
+    for name in jobs.order():
+        jobs.jobs[name].run()
+    return spark.createDataFrame([(i, name, "done") for i, (name, _) in enumerate(ran, 1)], "n int, job string, state string")

@@ -409,7 +409,21 @@ def lsh_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long"), F.round("distance", 6).alias("distance"))
 
 
-@query("pq_batch_topk")
+_PART = "[m * 2 + 1:m * 2 + 2]"
+
+
+@query(
+    "pq_batch_topk",
+    f"""WITH {_E}, b AS (SELECT vec_id AS code, v AS w FROM e WHERE vec_id < {CODES}),
+    codes AS (SELECT e.vec_id, m, arg_min(code, (round(power(list_distance(v{_PART}, w{_PART}), 2), 9), code)) AS code FROM e, b, range({PARTS}) t(m) GROUP BY e.vec_id, m),
+    qs AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % {EVERY} = 0),
+    t AS (SELECT query_id, m, code, power(list_distance(q{_PART}, w{_PART}), 2) AS d2 FROM qs, b, range({PARTS}) t(m)),
+    s AS (SELECT query_id, vec_id, sum(d2) AS d FROM codes JOIN t USING (m, code) GROUP BY query_id, vec_id),
+    near AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS k FROM s),
+    x AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(v, q) AS d FROM near JOIN e USING (vec_id) JOIN qs USING (query_id) WHERE k <= {COARSE}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM x)
+    SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= {K}""",
+)
 def pq_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     book = pq.from_vectors([list(r["vec"]) for r in e.where(F.col("id") < CODES).orderBy("id").collect()], PARTS)
