@@ -49,7 +49,7 @@ BLOCK, BLOCK_BYTES, PIVOTS = 1024, 8 << 20, 32
 #: Stands for no posting; keys lie between -2**31 and COORDINATES * 2**32.
 NO_KEY = -(1 << 62)
 #: Rows of postings, and bytes of texts, that a task handles as one group, about.
-BIN_ROWS, BIN_BYTES = 20_000, 16 << 20
+BIN_ROWS, BIN_BYTES = 4_000, 4 << 20
 
 _RNG = np.random.default_rng(20_231_105)
 _XOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
