@@ -26,7 +26,8 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     listed = docs.select(id_col, F.explode(F.array(T.words(F.col(text_col)))).alias("_words"))
     words = listed.select(id_col, F.size("_words").alias("_len"), F.explode("_words").alias("word"))
     counts = words.groupBy(id_col, "_len", "word").agg(F.count("*").alias("n"))
-    frequency = grouped(counts, ["word"], F.count("*").alias("_df"))
+    # Reads ``n``, so that both branches need the same aggregate and it is made once.
+    frequency = grouped(counts, ["word"], F.sum((F.col("n") > 0).cast("int")).alias("_df"))
     n_docs = F.lit(docs.count())
     both = counts.join(frequency, "word")
     return both.select(id_col, "word", (F.col("n") / F.col("_len") * F.ln(n_docs / F.col("_df"))).alias("weight"))

@@ -39,3 +39,33 @@ def test_groups_are_shuffled_again_for_a_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert p.count("Exchange hashpartitioning(k") == 2
+
+
+def test_words_are_split_once_for_weights(spark, sf):
+    from tessera.plans import catalogue
+
+    df = catalogue.queries()["tfidf_corpus"](spark, sf)
+    df.collect()
+    p = plan(df).split("== Initial Plan ==")[0]
+    assert p.count("FileScan") == 1 and p.count("split(") == 1 and "ReusedExchange" in p
+
+
+def test_chunks_are_folded_once(spark, sf):
+    from tessera.plans import catalogue
+
+    p = plan(catalogue.queries()["chunk_text"](spark, sf))
+    assert p.count("aggregate(") == 1
+
+
+def test_a_hybrid_query_scans_once_and_joins_nothing(spark, sf):
+    from tessera.plans import catalogue
+
+    p = plan(catalogue.queries()["hybrid_builder"](spark, sf))
+    assert p.count("FileScan") == 1 and "Join" not in p
+
+
+def test_a_ring_is_searched_without_a_join(spark, sf):
+    from tessera.plans import catalogue
+
+    p = plan(catalogue.queries()["hash_ring"](spark, sf))
+    assert "Join" not in p and "filter(" not in p
