@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,14 +13,22 @@ from tessera.functions import bits as B
 from tessera.functions import text as T
 
 
-def build(docs: DataFrame, text_cols: dict[str, str], id_col: str = "doc_id", bits: Column | None = None, tokens=T.tokens) -> DataFrame:
+def build(
+    docs: DataFrame, text_cols: dict[str, str], id_col: str = "doc_id", bits: Column | None = None, tokens=T.tokens, only: Iterable[str] | None = None
+) -> DataFrame:
     """``doc_id``, ``field``, ``word``, ``bits``: one row per document, field and distinct word.
 
-    ``text_cols``: field names by column. Documents with a null id have no postings.
+    ``text_cols``: field names by column. Documents with a null id have no postings. ``only``: the few
+    words that a query asks about; others are left out before any row is made of them. To search
+    again and again, write the postings of all words.
     """
 
     def keywords(c: str, name: str) -> Column:
-        return F.transform(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")), lambda w: F.struct(F.lit(name).alias("field"), w.alias("word")))
+        found = F.coalesce(tokens(F.col(c)), F.array().cast("array<string>"))
+        if only is not None:
+            asked = sorted(set(only))
+            found = F.filter(found, lambda w: w.isin(asked))
+        return F.transform(found, lambda w: F.struct(F.lit(name).alias("field"), w.alias("word")))
 
     lists = [keywords(c, f) for c, f in text_cols.items()]
     keyword = F.explode(F.concat(*lists) if len(lists) > 1 else lists[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +133,8 @@ _BITS = "(CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 4 WHEN 'es'
 _POSTINGS = rf"p AS (SELECT DISTINCT doc_id, CAST({_BITS} AS BIGINT) AS bits, unnest(regexp_extract_all(lower(text), '[^\s\x0B]+')) AS word FROM documents)"
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.build(docs(spark, sf_dir), {"text": "body"}, bits=F.expr(f"cast({_BITS} as bigint)"))
+def _postings(spark: SparkSession, sf_dir: str, only: Iterable[str] | None = None) -> DataFrame:
+    return postings.build(docs(spark, sf_dir), {"text": "body"}, bits=F.expr(f"cast({_BITS} as bigint)"), only=only)
 
 
 @query("postings", f"WITH {_POSTINGS} SELECT doc_id, 'body' AS field, word, bits FROM p")
@@ -153,7 +155,7 @@ def _boolean(name: str, term: postings.Term, having: str, where: str = "", on: i
 
     @query(name, f"WITH {_POSTINGS} SELECT doc_id FROM p WHERE word IN ({keys}) {where} GROUP BY doc_id HAVING {having}")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return postings.search(_postings(spark, sf_dir), term, on, off, any_of)
+        return postings.search(_postings(spark, sf_dir, [w for _, w in term.keywords()]), term, on, off, any_of)
 
 
 _boolean("kw_and", _word("the").also(_word("of"), _word("with")), f"{_has('the')} AND {_has('of')} AND {_has('with')}")
@@ -196,7 +198,7 @@ def kw_vector_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = embeddings(spark, sf_dir)
     near = knn.nearest(e, vector(e), 30).select("id", "distance")
-    words = postings.hits(_postings(spark, sf_dir), _SEARCH).where("n_hits >= 2").select(F.col("doc_id").alias("id"))
+    words = postings.hits(_postings(spark, sf_dir, _SEARCH), _SEARCH).where("n_hits >= 2").select(F.col("doc_id").alias("id"))
     return hybrid.with_fallback(near, words).select(F.col("id").alias("doc_id"), F.round("distance", 6).alias("distance"))
 
 
