@@ -352,6 +352,8 @@ class Memory:
 
     def __init__(self, vocabulary: ByteBpe, encode: Encode | None = None):
         self.vocabulary, self.encode = vocabulary, encode or vocabulary.merge
+        # A special token with a space might lie across the end of a stretch.
+        self.limit = 1 << 62 if any(" " in t for t in vocabulary.specials) else STRETCH_BYTES
         self._clear()
 
     def _clear(self) -> None:
@@ -402,7 +404,7 @@ class Memory:
     def counts(self, column: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
         out = np.zeros(len(column), np.int64)
-        for first, some in stretches(column):
+        for first, some in stretches(column, self.limit):
             w = self.vocabulary.pretokens(some)
             total = np.r_[0, np.cumsum(self.look_up(w)[2])]
             out[first : first + len(some)] += np.diff(total[w.first])
@@ -411,7 +413,7 @@ class Memory:
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of each text, ragged."""
         out, sizes = [np.zeros(0, np.int32)], np.zeros(len(column), np.int64)
-        for first, some in stretches(column):
+        for first, some in stretches(column, self.limit):
             w = self.vocabulary.pretokens(some)
             pool, begin, size = self.look_up(w)
             out.append(gathered(pool, begin, size))
