@@ -21,6 +21,8 @@ from tessera.llm import batches, words
 
 #: Bytes of text in a bucket, about; a longer text makes its bucket larger.
 BUCKET_BYTES = 8 << 20
+#: Equal rows of a task that share a bucket.
+TOGETHER = 16
 #: Bytes of text that a task deals out at a time.
 BUNDLED_BYTES = 32 << 20
 
@@ -31,20 +33,22 @@ REPLY = "bucket int, part int, kind int, totals binary"
 def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, str]:
     """Bundles of rows by ``bucket``, the number of buckets, which follows the input, and the type of the ids.
 
-    A task bundles its rows of a bucket, their texts compressed as one; ``rows_of`` unpacks them.
+    A task bundles its rows of a bucket, their texts compressed as one; ``rows_of`` unpacks them. Of
+    rows that repeat each other in id and text, a few share a bucket and the rest go to others, so
+    that many of them don't make one bucket large.
     """
     text = F.col(text_col).cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(size / bucket_bytes))
     order = F.xxhash64(F.col(id_col), text)
-    rows = docs.select(F.pmod(order, F.lit(n)).cast("int").alias("bucket"), F.col(id_col).alias("_id"), order.alias("_order"), text.alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), order.alias("_order"), text.alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def bundle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "_text", BUNDLED_BYTES):
-            bucket = part.column("bucket").to_numpy()
-            part = part.take(pa.array(np.argsort(bucket, kind="stable")))
-            bucket = part.column("bucket").to_numpy()
+            bucket = dealt(part.column("_order").to_numpy(), n)
+            by_bucket = np.argsort(bucket, kind="stable")
+            part, bucket = part.take(pa.array(by_bucket)), bucket[by_bucket]
             data, at = words.bytes_of(part.column("_text"))
             cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
             offsets = pa.array(cut.astype(np.int32))
@@ -63,6 +67,16 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BU
     return rows.mapInArrow(bundle, f"bucket int, _id array<{kind}>, _order array<long>, _size array<long>, _text binary"), n, kind
 
 
+def dealt(order: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each row by its hash; ``TOGETHER`` rows of one hash share one, the next ones another."""
+    at = np.argsort(order, kind="stable")
+    first = np.r_[True, order[at][1:] != order[at][:-1]][: len(order)]
+    turn = np.empty(len(order), np.int64)
+    turn[at] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    spread = order.view(np.uint64) + (turn // TOGETHER).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (words.mix(spread) % np.uint64(buckets)).astype(np.int32)
+
+
 def rows_of(bundles: pa.Table) -> pa.Table:
     """``_id`` and ``_text`` (null texts empty) of a bucket's rows, in an order that doesn't depend on how they were read."""
     flat = lambda c: pa.concat_arrays([x.flatten() for x in bundles.column(c).chunks])
