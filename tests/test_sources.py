@@ -167,3 +167,22 @@ def test_jobs():
         j.order()
     with pytest.raises(ValueError):
         j.add(jobs.Job("g", lambda: 0))
+
+
+def test_rows_come_from_a_database(spark, sf):
+    url = "jdbc:derby:memory:tessera;create=true"
+    properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    nation = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name")
+    nation.write.mode("overwrite").option("createTableColumnTypes", "n_name VARCHAR(64)").jdbc(url, "nation", properties=properties)
+    want = sorted(tuple(r) for r in nation.where("n_nationkey >= 5").collect())
+    query = 'SELECT "n_nationkey", "n_name" FROM nation WHERE "n_nationkey" >= 5'
+    assert sorted(tuple(r) for r in ingest.from_database(spark, url, query, properties).collect()) == want
+    parts = ingest.from_database(spark, url, query, properties, ("n_nationkey", 0, 25, 3))
+    assert parts.rdd.getNumPartitions() == 3 and sorted(tuple(r) for r in parts.collect()) == want
+
+
+def test_missing_columns_are_named(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert ingest.require_columns(df, "a", None, "*") is df
+    with pytest.raises(ValueError, match="c, d"):
+        ingest.require_columns(df, "a", "c", "d")
