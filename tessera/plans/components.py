@@ -22,7 +22,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    out = out.where("u != v")
+    return out if large else out.distinct()  # edges that repeat in between do no harm
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
